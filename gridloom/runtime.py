@@ -17,11 +17,12 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = os.path.join(tempfile.gettempdir(), "gridloom-checkpoints")
-        os.makedirs(folder, exist_ok=True)
-        folder = f"file://{folder}"
-        spark.sparkContext.setCheckpointDir(folder)
-        spark.conf.set("spark.checkpoint.dir", folder)
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if known.isDefined():
+            folder = known.get()
+        else:
+            folder = f"file://{os.path.join(tempfile.gettempdir(), 'gridloom-checkpoints')}"
+            spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
