@@ -140,10 +140,10 @@ def _per_text(docs: DataFrame, text: str, new: dict[str, str], step, rank_file:
     return docs.withColumn(name, run(quoted(text)))
 
 
-def digests(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256, n_bytes) for each row: encodes the whole text, then decodes the ids.
+def digests(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256, n_bytes[, ids]) for each row: encodes the whole text, then decodes the ids.
 
-    One pass without a shuffle; only digests leave the Python worker. A null or empty text has no token and the
+    One pass without a shuffle; only digests leave the Python worker, and the ids where asked for. A null or empty text has no token and the
     digests of no bytes. Repeated rows each give a row; a null key stays null.
     """
 
@@ -152,7 +152,7 @@ def digests(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id",
 
         def step(columns):
             keys, texts = columns
-            count, a, b, size = [], [], [], []
+            count, a, b, size, every = [], [], [], [], []
             for t in texts:
                 ids = codec.encode(t)
                 raw = codec.decode(ids)
@@ -160,13 +160,15 @@ def digests(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id",
                 a.append(hashlib.sha256(" ".join([codec.decimal[i] for i in ids]).encode()).hexdigest())
                 b.append(hashlib.sha256(raw).hexdigest())
                 size.append(len(raw))
-            return [keys, count, a, b, size]
+                if with_ids:
+                    every.append(ids)
+            return [keys, count, a, b, size, *[every] * with_ids]
 
         return step
 
     kind = docs.schema[key].dataType.simpleString()
     slim = docs.select(quoted(key).alias("k"), as_text(quoted(text)).alias("t"))
-    return map_rows(slim, {"k": "k", "t": "t"}, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long", work)
+    return map_rows(slim, {"k": "k", "t": "t"}, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long" + ", ids array<int>" * with_ids, work)
 
 
 def production() -> dict[str, str]:

@@ -105,8 +105,12 @@ class Index:
     def _slot(self, code: np.ndarray) -> np.ndarray:
         return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)
 
-    def regions(self, b: np.ndarray) -> list[tuple[int, int]]:
-        """(item, first diagonal of a band) of each band with as many shared grams as an occurrence would leave."""
+    def regions(self, b: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, first and last diagonal) where as many grams are shared as an occurrence would leave.
+
+        Counted in overlapping bands first, wide enough for any item; then, where that is enough, within as many
+        diagonals as the item's own edits can shift, each sampled gram of the item once.
+        """
         if not len(self.items):
             return []
         g = grams(b, self.settings.q)
@@ -125,21 +129,31 @@ class Index:
         band = (diagonal + self.longest) // self.width
         bands = int(band.max()) + 2
         key = owner * bands + band
-        if len(self.items) * bands < 8 * len(key) + 100_000:
-            each = np.bincount(key, minlength=len(self.items) * bands)
-            filled = np.flatnonzero(each)
-            each = each[filled]
-        else:
+        if len(self.items) * bands <= 16 * len(key) + 20_000:
+            each = np.bincount(key, minlength=len(self.items) * bands).reshape(-1, bands)
+            whose, left = np.nonzero(each[:, :-1] + each[:, 1:] >= self.need[:, None])
+            edge = np.flatnonzero(each[:, 0] >= self.need)  # nothing lies left of the first band
+        else:  # many items: only the bands that have grams
             filled, each = np.unique(key, return_counts=True)
-        # a band and the next one together, from each filled one and from the one before it
-        left = np.union1d(filled, filled[filled % bands > 0] - 1)
-        value = np.zeros(len(left), np.int64)
-        for step in (0, 1):
-            i = np.searchsorted(filled, left + step)
-            i = np.minimum(i, len(filled) - 1)
-            value += np.where((filled[i] == left + step) & ((left + step) // bands == left // bands), each[i], 0)
-        found = left[value >= self.need[left // bands]]
-        return [(int(x // bands), int(x % bands) * self.width - self.longest) for x in found]
+            start = np.unique(np.concatenate([filled, filled[filled % bands > 0] - 1]))
+            value = np.zeros(len(start), np.int64)
+            for step in (0, 1):
+                i = np.minimum(np.searchsorted(filled, start + step), len(filled) - 1)
+                value += np.where((filled[i] == start + step) & ((start + step) // bands == start // bands), each[i], 0)
+            good = start[value >= self.need[start // bands]]
+            whose, left, edge = good // bands, good % bands, good[:0]
+        out: dict[tuple[int, int, int], None] = {}
+        for item, start in (*zip(whose.tolist(), left.tolist()), *((int(i), 0) for i in edge)):
+            own = (owner == item) & ((band == start) | (band == start + 1))
+            d, place = diagonal[own], self.place[entry[own]]
+            order = np.argsort(d, kind="stable")
+            d, place = d[order], place[order]
+            # the item's own edits: so many grams within as many diagonals, at different places of the item
+            upto = np.searchsorted(d, d + self.edits[item], "right")
+            wide = np.flatnonzero(upto - np.arange(len(d)) >= self.need[item])
+            if len(wide) and len(np.unique(place[wide[0] : upto[wide[-1]]])) >= self.need[item]:
+                out[item, int(d[wide[0]]), int(d[upto[wide[-1]] - 1])] = None
+        return list(out)
 
     def search(self, text: str) -> dict[int, tuple[int, int, int]]:
         """For each item that occurs with its edits at most: least edits, and start and end bytes in the normal text."""
@@ -149,19 +163,18 @@ class Index:
         for start in range(0, max(1, len(b)), PIECE):
             piece = b[max(0, start - overlap) : start + PIECE]
             base = max(0, start - overlap)
-            for item, diagonal in self.regions(piece):
+            for item, low, high in self.regions(piece):
                 if item in best and best[item][0] == 0:
                     continue
-                got = self.align(piece, item, diagonal)
+                got = self.align(piece, item, low, high)
                 if got and (item not in best or got[0] < best[item][0]):
                     best[item] = (got[0], got[1] + base, got[2] + base)
         return best
 
-    def align(self, b: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int] | None:
-        """Least edits of the item against any stretch of ``b`` whose diagonals lie in the band, with k more on each
-        side; None if over k."""
+    def align(self, b: np.ndarray, item: int, low: int, high: int) -> tuple[int, int, int] | None:
+        """Least edits of the item against any stretch of ``b`` that passes those diagonals; None if over its share."""
         a, k = self.items[item], int(self.edits[item])
-        lo, hi = diagonal - k, diagonal + 2 * self.width + k
+        lo, hi = low - k, high + k
         stretch = b[max(0, lo) : hi + len(a)].tobytes()
         exact = stretch.find(a.tobytes())
         if exact >= 0:

@@ -5,18 +5,20 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.graph.components import components
 from gridloom.llm.arrowtext import as_text, map_rows
-from gridloom.runtime import cut, quoted, release, table
+from gridloom.runtime import cut, free_name, quoted, release, table
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.float64)
 _OFFSETS = (np.arange(8) * 256)[None, :]
 #: Fingerprints are laid out in tiles of at least this many and at most so many rows; see ``links``.
 LEAST_TILE, MOST_TILE = 16_384, 1_048_576
+#: Keys that ``deduplicate`` broadcasts at most.
+MOST_BROADCAST = 500_000
 #: Comparisons of one numpy step: rows of one side by rows of the other.
 STEP = (64, 2_048)
 
@@ -191,12 +193,23 @@ def deduplicate(docs: DataFrame, width: int = 5, radius: int = 14, lanes: int =
 
     The defaults stand for a similarity of 0.8 of five-word shingles: two such texts differ in a share of
     arccos(2s / (1 + s)) / pi = 0.151 of the bits, 48 of 320 (deviation 6.4) and 10 of the first 64 (2.9). Texts that
-    share less than two thirds stay apart. One row stays of each class; of rows that repeat its key, the one whose
-    text and other columns hash least. Rows with a null key stay.
+    share less than two thirds stay apart. One key stays of each class. Of rows that repeat a key one stays, the one
+    whose text hashes least, if any of them stands for its class. Rows with a null key stay. The keys that go are
+    broadcast up to MOST_BROADCAST of them, and joined beyond, which shuffles the texts once.
     """
     found = classes(docs, width, radius, lanes, wide_radius, key, text)
-    kept = found.where(quoted(key) == F.col("component_id")).select(quoted(key).alias("_kept")).distinct()
-    return docs.join(kept, quoted(key) == F.col("_kept"), "left_semi").unionByName(docs.where(quoted(key).isNull()))
+    keys = cut(found.where(quoted(key).isNotNull()).groupBy(quoted(key).alias("_k")).agg(F.count(F.lit(1)).alias("n"), F.max(quoted(key) == F.col("component_id")).alias("stays")), "keys")
+    gone, again = keys.where(~F.col("stays")).select("_k"), keys.where(F.col("stays") & (F.col("n") > 1)).select("_k")
+    if gone.count() <= MOST_BROADCAST:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, quoted(key) == F.col("_k"), "left_anti")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, quoted(key) == F.col("_k"), "left_semi")
+    rank = free_name(docs, "rank")
+    order = Window.partitionBy(quoted(key)).orderBy(F.xxhash64(quoted(text)), *[quoted(c) for c, t in docs.dtypes if not t.startswith("map")])
+    first = once.withColumn(rank, F.row_number().over(order)).where(quoted(rank) == 1).drop(rank)
+    return kept.join(again, quoted(key) == F.col("_k"), "left_anti").unionByName(first)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
