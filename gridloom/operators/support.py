@@ -67,10 +67,10 @@ def dimension_table(cells: DataFrame, by: str = "region", sizes: dict | None = N
 
 def support_summary(dataset: str, template_cells: int, support: DataFrame, retained: DataFrame, mndwi: bool = True) -> DataFrame:
     """One row: sizes and shares of the support and of what is left of it without isolated cells."""
-    a = support.agg(F.count(F.lit(1)).alias("common_support_cells"))
-    b = retained.agg(F.count(F.lit(1)).alias("retained_cells"))
+    both = support.select(F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(retained.select(F.lit(0).alias("a"), F.lit(1).alias("b")))
     total = F.lit(template_cells).cast("bigint")
-    return a.join(b).select(
+    zero = F.lit(0).cast("bigint")
+    return both.agg(F.coalesce(F.sum("a"), zero).alias("common_support_cells"), F.coalesce(F.sum("b"), zero).alias("retained_cells")).select(
         F.lit(dataset).alias("dataset"), F.lit(mndwi).alias("mndwi_included"), total.alias("total_template_cells"), "common_support_cells", "retained_cells",
         (F.col("common_support_cells") - F.col("retained_cells")).alias("dropped_isolates"), (F.col("common_support_cells") / total).alias("share_common_support"), (F.col("retained_cells") / total).alias("share_retained_cells"),
     )
@@ -78,12 +78,12 @@ def support_summary(dataset: str, template_cells: int, support: DataFrame, retai
 
 def design(sample: DataFrame, transform: Callable[[Column], Column] = F.log1p, response: str = "gdp", predictors: list[str] | None = None, scale: bool = True, keep: list[str] | None = None) -> DataFrame:
     """(cell, y, intercept, <predictors>): the response transformed, predictors centred and divided by their sample
-    standard deviation over these rows (a constant one becomes 0). One aggregate of one row is broadcast."""
+    standard deviation over these rows (a constant one becomes 0). The means and deviations come from one aggregate."""
     predictors = predictors or ["pop", "ndvi", "mndwi"]
     keep = keep or ["cell"]
     base = sample.select(*keep, transform(F.col(response)).alias("y"), F.lit(1.0).alias("intercept"), *[F.col(p).cast("double").alias(p) for p in predictors])
     if not scale:
         return base
-    moments = sample.agg(*[F.avg(p).alias(f"m_{p}") for p in predictors], *[F.stddev_samp(p).alias(f"s_{p}") for p in predictors])
-    out = base.join(F.broadcast(moments))
-    return out.select(*keep, "y", "intercept", *[F.when(F.col(f"s_{p}") > 0, (F.col(p) - F.col(f"m_{p}")) / F.col(f"s_{p}")).otherwise(0.0).alias(p) for p in predictors])
+    stats = sample.agg(*[F.avg(p).alias(f"m_{p}") for p in predictors], *[F.stddev_samp(p).alias(f"s_{p}") for p in predictors]).first()
+    scaled = lambda p: (F.col(p) - stats[f"m_{p}"]) / stats[f"s_{p}"] if stats[f"s_{p}"] else F.lit(0.0)
+    return base.select(*keep, "y", "intercept", *[scaled(p).alias(p) for p in predictors])
