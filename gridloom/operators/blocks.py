@@ -56,11 +56,13 @@ def draws(sample: DataFrame, edge: DataFrame, grid: Grid, model: str = "sar", k:
     while todo:
         starts = F.array(*[F.struct(F.lit(b).alias("block"), F.lit(c).alias("start"), F.lit(r).alias("r"), F.lit(q).alias("c")) for b, c, r, q in todo])
         hit = F.filter(starts, lambda s, w=radius: (F.abs(F.col("row") - s["r"]) <= w) & (F.abs(F.col("col") - s["c"]) <= w))
-        window = rows.withColumn("b", F.explode(hit)).select("*", "b.block", "b.start").drop("b")
+        window = rows.withColumn("_hit", F.explode(hit)).select(*rows.columns, F.col("_hit.block").alias("block"), F.col("_hit.start").alias("start"))
 
-        def refit(pdf: pd.DataFrame, radius: int = radius) -> pd.DataFrame:
-            cells, complete = grow(pdf, grid, contiguity, int(pdf["start"].iloc[0]), m, radius)
-            whole = 2 * radius >= max(grid.rows, grid.cols)
+        width = radius
+
+        def refit(pdf: pd.DataFrame) -> pd.DataFrame:
+            cells, complete = grow(pdf, grid, contiguity, int(pdf["start"].iloc[0]), m, width)
+            whole = 2 * width >= max(grid.rows, grid.cols)
             b = pdf.set_index("cell").loc[sorted(cells)]
             values = [math.nan] * (1 + len(names))
             if complete or whole:

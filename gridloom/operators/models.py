@@ -174,7 +174,7 @@ def impacts(f: Fit, predictors: list[str], compat: str = "correct", simulate: in
             series = tr_.logdet_slope(rho, f.traces) if compat == "correct" else sum(rho**k * t for k, t in enumerate(f.traces[:-1], 1))
             direct += series / f.n * theta
         total = (b + theta) * tr_.mean_row_sum(rho)
-        return direct, total - direct, total
+        return float(direct), float(total - direct), float(total)
 
     out = []
     rng = np.random.default_rng(seed)
@@ -186,7 +186,7 @@ def impacts(f: Fit, predictors: list[str], compat: str = "correct", simulate: in
             draws = np.array([effects(r, x, 0.0) for r, x in zip(rhos, rng.normal(b, f.se[at[p]], simulate))])
             for name, sd in zip(("direct", "indirect", "total"), draws.std(0, ddof=1)):
                 z = row[name] / sd if sd > 0 else math.nan
-                row |= {f"se_{name}": float(sd), f"z_{name}": z, f"p_{name}": shown_p(two_sided_p(z))}
+                row |= {f"se_{name}": float(sd), f"z_{name}": float(z), f"p_{name}": shown_p(two_sided_p(z))}
         out.append(row)
     return out
 
