@@ -96,7 +96,7 @@ def tokens(page: str) -> list[Token]:
         about = " ".join(next(x for x in a[1:] if x) if any(a[1:]) else "" for a in ATTRIBUTE.findall(m[3])) if m[3] else ""
         up_place, up_side = (stack[-1][1], stack[-1][2]) if stack else ("", False)
         aside = up_side or name in OUTSIDE and not (name == "header" and any(s[0] in ("article", "main") for s in stack)) or bool(about and name not in ("body", "html", "article", "main") and SIDE.search(about))
-        place = up_place if name in INLINE else name + ("!" if aside and not up_side else "") + ("*" if up_side else "")
+        place = up_place if name in INLINE else name
         out.append(Token(name, "", place, aside, block))
         if name not in VOID and not m[3].endswith("/"):
             stack.append((name, place, aside))
@@ -111,12 +111,12 @@ class Weights:
     tags: dict[str, float] = field(default_factory=dict)
 
     def of(self, t: Token) -> float:
-        if t.tag:
-            return self.tags.get(t.tag + ("!" if t.side else ""), -8.0 if t.side else -1.0)
         words = len(t.text.split())
-        if not words:
-            return 0.0
-        return words * self.words.get(t.place, -1.0 if t.side else 1.0)
+        if t.side:  # never part of the text: small, so that what follows an advert within an article isn't cut off
+            return -0.1 if t.tag else -0.5 if words else 0.0
+        if t.tag:
+            return self.tags.get(t.tag, -1.0)
+        return words * self.words.get(t.place, 1.0)
 
 
 def learn(pages: list[str]) -> Weights:
@@ -134,10 +134,11 @@ def learn(pages: list[str]) -> Weights:
         else:
             continue
         for i, t in enumerate(found):
-            within = opens[0] < i < closes[0] and not t.side
-            into = inside if within else outside
+            if t.side:
+                continue
+            into = inside if opens[0] < i < closes[0] else outside
             if t.tag:
-                into["t"][t.tag + ("!" if t.side else "")] += 1
+                into["t"][t.tag] += 1
             else:
                 into["w"][t.place] += len(t.text.split())
 

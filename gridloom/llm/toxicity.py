@@ -22,13 +22,15 @@ _WORD = re.compile(r"[^\W\d_]+")
 class Settings:
     """buckets: of the hash of a term. prefixes: lengths of the beginnings of words that are terms too (inflections).
     most_rows: labelled rows to learn from, those whose hashed key is least; the only bound on what is learned from.
-    most_terms: terms kept, by chi-square over these rows. factors: of each term. least_rows: a term must have."""
+    most_terms: terms kept, by chi-square over these rows, which must be least_chi (below, chance makes as many).
+    factors: of each term. least_rows: a term must have."""
 
     buckets: int = 1 << 22
     prefixes: tuple[int, ...] = (3, 4, 5, 6, 7)
     most_rows: int = 20_000
     most_terms: int = 6_000
     least_rows: int = 4
+    least_chi: float = 8.0
     factors: int = 4
     epochs: int = 30
     rate: float = 0.08
@@ -116,7 +118,7 @@ def fit(texts: DataFrame, settings: Settings | None = None) -> Model:
     n = float(neg + pos)
     seen = F.col("a") + F.col("b")
     chi = F.pow(F.col("b") * F.lit(float(neg)) - F.col("a") * F.lit(float(pos)), 2) * n / (seen * (F.lit(n) - seen + 1) * float(neg) * float(pos))
-    best = each.where(seen >= settings.least_rows).select("h", "a", "b", chi.alias("chi")).orderBy(F.desc("chi"), "h").limit(settings.most_terms).collect()
+    best = each.where(seen >= settings.least_rows).select("h", "a", "b", chi.alias("chi")).where(F.col("chi") >= settings.least_chi).orderBy(F.desc("chi"), "h").limit(settings.most_terms).collect()
     model.terms = np.array([r["h"] for r in best], np.int64)
 
     def values():
@@ -155,7 +157,7 @@ def train(model: Model, at: list[np.ndarray], x: list[np.ndarray], y: np.ndarray
             square = np.bincount(row, (f * f).sum(1), len(part))
             margin = b + np.bincount(row, w[idx] * val, len(part)) + 0.5 * ((total * total).sum(1) - square)
             g = (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y[part]) * weight[part] / len(part)
-            dw = np.bincount(idx, g[row] * val, m)
+            dw = np.bincount(idx, g[row] * val, m).astype(float)
             dv = np.zeros_like(v)
             np.add.at(dv, idx, (g[row] * val)[:, None] * (total[row] - f))
             hit = np.unique(idx)
