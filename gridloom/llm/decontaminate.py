@@ -216,6 +216,15 @@ def banded(a: np.ndarray, b: np.ndarray, lo: int, hi: int, k: int) -> tuple[int,
     return (edits, int(begin[at]), len(a) + lo + at) if edits <= k else None
 
 
+def _items(benchmark: DataFrame, settings: Settings) -> list[tuple[int, str]]:
+    """The items on the driver, once their size is known to be within the bound; null ids are left out."""
+    rows = benchmark.select(F.col("item_id").cast("bigint").alias("i"), as_text(F.col("text")).alias("t")).where("i is not null")
+    size = rows.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
+    if size > settings.most_bytes:
+        raise ValueError(f"the benchmark has {size} bytes, over most_bytes")
+    return sorted((r["i"], r["t"]) for r in rows.collect())
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_items, items, edits, starts, ends) of each row of ``docs``: ids of the benchmark items (ascending) that
     occur in its whole text with at most their share of bytes edited, the least edits of each, and the bytes of the
@@ -226,10 +235,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = N
     Rows that repeat each give a row.
     """
     settings = settings or Settings()
-    size = benchmark.agg(F.sum(F.octet_length(as_text(F.col("text")))).alias("n")).first()["n"] or 0
-    if size > settings.most_bytes:
-        raise ValueError(f"the benchmark has {size} bytes, over most_bytes")
-    items = sorted(((r["item_id"], r["text"] or "") for r in benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).collect() if r["item_id"] is not None))
+    items = _items(benchmark, settings)
 
     def work():
         index = Index(items, settings)
@@ -256,7 +262,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = No
     from pyspark.sql.pandas.functions import pandas_udf
 
     settings = settings or Settings()
-    items = sorted(((r["item_id"], r["text"] or "") for r in benchmark.select("item_id", "text").collect() if r["item_id"] is not None))
+    items = _items(benchmark, settings)
     index: list[Index] = []
 
     @pandas_udf("boolean")

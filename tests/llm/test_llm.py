@@ -601,7 +601,7 @@ def test_pipeline(spark, sf):
     plain = [i for i in rows if not re.search(r"@|\d{3}", texts[i])]
     assert len(plain) > 50 and all(rows[i]["decoded_sha256"] == hashlib.sha256(texts[i].encode()).hexdigest() for i in plain)
     missing = set(texts) - set(rows) - toxic - leaks
-    classes = {r["doc_id"]: r["component_id"] for r in simhash.classes(docs.where(~F.col("doc_id").isin(list(toxic))), 5, 14, 5, 58).collect()}
+    classes = {r["doc_id"]: r["component_id"] for r in simhash.classes(docs.where(~F.col("doc_id").isin(list(toxic))), 5, 16, 12, 126, distinct=True).collect()}
     assert all(classes[i] != i for i in missing)
 
 
