@@ -73,7 +73,7 @@ def seeds(parts: DataFrame) -> DataFrame:
     return parts.join(middle, "component").groupBy("component").agg(F.min(F.struct(d.alias("d"), "cell")).alias("best")).select("component", "best.cell")
 
 
-def spatial_supports(support: DataFrame, grid: Grid, shares: list[float], contiguity: str = "queen", bound: int = 2_000_000) -> DataFrame:
+def spatial_supports(support: DataFrame, grid: Grid, shares: list[float], contiguity: str = "queen", bound: int = 250_000) -> DataFrame:
     """(scenario, cell): of each component the cells first reached from its middle, as many as it is allocated."""
     shares = proportions(shares)
     from gridloom.runtime import cut

@@ -42,7 +42,7 @@ def visit(neighbours: dict[int, list[int]], start: int, most: int | None = None)
     return order
 
 
-def orders(ranked: DataFrame, starts: DataFrame, sizes: DataFrame, bound: int = 2_000_000) -> DataFrame:
+def orders(ranked: DataFrame, starts: DataFrame, sizes: DataFrame, bound: int = 250_000) -> DataFrame:
     """(component, cell, place from 1): the first-in, first-out order of each component from its start.
 
     ranked: (component, i, o, j), o being the order in which neighbours are visited. starts: (component, cell).

@@ -55,7 +55,8 @@ def draws(sample: DataFrame, edge: DataFrame, grid: Grid, model: str = "sar", k:
     done = []
     while todo:
         starts = F.array(*[F.struct(F.lit(b).alias("block"), F.lit(c).alias("start"), F.lit(r).alias("r"), F.lit(q).alias("c")) for b, c, r, q in todo])
-        hit = F.filter(starts, lambda s, w=radius: (F.abs(F.col("row") - s["r"]) <= w) & (F.abs(F.col("col") - s["c"]) <= w))
+        reach = F.lit(radius)
+        hit = F.filter(starts, lambda s: (F.abs(F.col("row") - s["r"]) <= reach) & (F.abs(F.col("col") - s["c"]) <= reach))
         window = rows.withColumn("_hit", F.explode(hit)).select(*rows.columns, F.col("_hit.block").alias("block"), F.col("_hit.start").alias("start"))
 
         width = radius

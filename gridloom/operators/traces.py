@@ -13,23 +13,21 @@ from gridloom.functions.scalars import signs
 from gridloom.runtime import cut, release
 
 
-def traces(edge: DataFrame, cells: DataFrame, kmax: int = 50, probes: int = 30, seed: int = 123, exact_low_order: bool = False, cut_every: int = 5) -> list[float]:
+def traces(edge: DataFrame, cells: DataFrame, kmax: int = 50, probes: int = 30, seed: int = 123, exact_low_order: bool = False) -> list[float]:
     """tr(W^k) for k = 1..kmax: the mean over random signs v of v' W^k v.
 
-    All probes are columns of one table, so a power is one join and aggregate; every few powers the table is written
-    to the shared folder. exact_low_order puts the exact values in the first two places.
+    All probes are columns of one table, so a power is one join and aggregate, written to the shared folder: no power
+    is computed twice. exact_low_order puts the exact values in the first two places.
     """
     names = [f"z{b}" for b in range(probes)]
     start = cut(cells.select("cell", *[signs(F.col("cell"), b, seed).alias(f"v{b}") for b in range(probes)]), "signs")
     z, last, out = start.select("cell", *[F.col(f"v{b}").alias(f"z{b}") for b in range(probes)]), None, []
-    for k in range(1, kmax + 1):
+    for _ in range(kmax):
         moved = edge.join(z.withColumnRenamed("cell", "j"), "j").groupBy(F.col("i").alias("cell")).agg(*[F.sum(F.col("w") * F.col(n)).alias(n) for n in names])
-        if k % cut_every == 0 or kmax == k:
-            moved = cut(moved, "powers")
-            if last is not None:
-                release(last)
-            last = moved
-        z = moved
+        z = cut(moved, "powers")
+        if last is not None:
+            release(last)
+        last = z
         row = start.join(z, "cell").agg(*[F.sum(F.col(f"v{b}") * F.col(f"z{b}")).alias(f"t{b}") for b in range(probes)]).first()
         out.append(sum(x or 0.0 for x in row) / probes)
     release(start, *([last] if last is not None else []))

@@ -27,10 +27,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: computed once, survives lost executors."""
+    """Write ``df`` as Parquet to the shared folder and read it back: computed once, survives lost executors.
+
+    The files go when the driver ends, or before by ``release``.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/gridloom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out._gridloom_path = path
     return out
