@@ -372,6 +372,32 @@ def test_golden_counts(spark, sf):
         assert (e.count(), weights.isolates(base, e).count(), len(sizes), max(sizes)) == (nnz, alone, parts, largest)
 
 
+def test_labels_and_seeds_against_a_plain_search(spark, sf):
+    cells, g = src.fixture_grid(spark, sf)
+    base = support.common_support(cells)
+    known = {(r["row"], r["col"]): r["cell"] for r in base.collect()}
+    left, want, seeds = dict(known), {}, {}
+    for number in range(1, len(known) + 1):
+        if not left:
+            break
+        start = min(left, key=left.get)
+        part, todo = [], [start]
+        del left[start]
+        while todo:
+            r, c = todo.pop()
+            part.append((r, c))
+            for dr, dc in weights.ROOK:
+                if (r + dr, c + dc) in left:
+                    del left[r + dr, c + dc]
+                    todo.append((r + dr, c + dc))
+        want |= {known[x]: number for x in part}
+        mr, mc = sum(r for r, _ in part) / len(part), sum(c for _, c in part) / len(part)
+        seeds[number] = min((round((r - mr) ** 2 + (c - mc) ** 2, 9), known[r, c]) for r, c in part)[1]
+    parts = scenarios.labelled(base, g, "rook")
+    assert {r["cell"]: r["component"] for r in parts.collect()} == want
+    assert {r["component"]: r["cell"] for r in scenarios.seeds(parts).collect()} == seeds
+
+
 def test_entry_and_oracles_have_queries():
     import __spark_entry__ as entry
 
