@@ -201,10 +201,11 @@ def labelled(docs: DataFrame, labels: DataFrame, settings: Settings, key: str =
     The keys are bounded by that number, so they are broadcast. Null keys and labels are left out; a key that labels
     hold twice takes the larger label; rows of ``docs`` that repeat a key count once each.
     """
-    chosen = (
-        labels.select(quoted(key).alias("k"), quoted(label).cast("int").alias("y")).where(F.col("k").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("k")))
-        .groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(settings.most_rows)
-    )
+    open_ = labels.select(quoted(key).alias("k"), quoted(label).cast("int").alias("y")).where(F.col("k").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("k")))
+    # each task sends its share of the rows only, whatever their number
+    draw = F.pmod(F.xxhash64("k"), F.lit(1 << 31))
+    share = min(1.0, 1.1 * settings.most_rows / max(1, open_.count()))
+    chosen = open_.where(draw < F.lit(int((1 << 31) * share))).groupBy("k").agg(F.max("y").alias("y")).orderBy(draw, "k").limit(settings.most_rows)
     return docs.select(quoted(key).alias("k"), as_text(quoted(text)).alias("t")).join(F.broadcast(chosen), "k").select("k", "y", "t")
 
 
