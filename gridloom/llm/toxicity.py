@@ -16,6 +16,8 @@ from gridloom.llm.arrowtext import as_text, map_rows
 from gridloom.runtime import free_name, quoted, table
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: Words whose terms a worker remembers; the rest are hashed each time.
+MOST_CACHED = 60_000
 
 
 @dataclass
@@ -83,7 +85,7 @@ def hashed(text: str, settings: Settings, cache: dict[str, tuple[int, ...]] | No
         if known is None:
             terms = [w, *(w[:n] + "\x01" for n in settings.prefixes if len(w) > n)]
             known = tuple(zlib.crc32(t.encode("utf-8", "replace")) % settings.buckets for t in terms)
-            if cache is not None and len(cache) < 500_000:
+            if cache is not None and len(cache) < MOST_CACHED:
                 cache[w] = known
         out += known
     return out
