@@ -177,6 +177,45 @@ def test_deduplicate_keeps_one_of_similar_and_all_others(spark, none):
     assert simhash.deduplicate(none).columns == none.columns and simhash.deduplicate(none).count() == 0
 
 
+def slow_alike(texts):
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                root = [root[j] if r == root[i] else r for r in root]
+    return root
+
+
+def test_near_duplicates_are_those_of_all_pairs_of_sets(spark, monkeypatch):
+    """Pairs at exactly 0.8, just above and just below it, of few and many words; no tolerance."""
+    rng = random.Random(12)
+    texts = []
+    for n in (8, 8, 8, 9, 9, 10, 12, 13, 24, 44, 54, 104, 204) * 12:
+        t = words(rng, n, 9_000).split()
+        texts += [" ".join(t), " ".join([*t, "more"])]
+        m = n - 4  # shingles; others at the end make as many new ones as they take
+        for k in {m // 9, m // 9 + 1}:
+            texts.append(" ".join([*t[: n - k], *(f"e{rng.random()}" for _ in range(k))]))
+    group = words(rng, 60, 9_000).split()
+    for _ in range(120):  # a dense group around 0.8
+        g = list(group)
+        for _ in range(rng.randrange(1, 4)):
+            g[rng.randrange(60)] = f"o{rng.randrange(999)}"
+        texts.append(" ".join(g))
+    texts += [None, "", " ", "one", "One"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    roots = slow_alike(texts)
+    least = {}
+    for i, r in enumerate(roots):
+        least.setdefault(r, i)
+    want = {i: least[r] for i, r in enumerate(roots)}
+    for tile in (simhash.LEAST_TILE, 32):
+        monkeypatch.setattr(simhash, "LEAST_TILE", tile)
+        assert {r["doc_id"]: r["component_id"] for r in simhash.alike(df).collect()} == want
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(df).collect()) == sorted(set(want.values()))
+
+
 # 3
 
 
