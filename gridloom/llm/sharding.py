@@ -88,12 +88,32 @@ def _pages(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def shard(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the columns shard and page, for writing; names that are taken get underscores."""
-    place = assign(docs, limit, key, text).select(quoted(key).alias("_k"), "shard", "page", "bytes").dropDuplicates(["_k", "bytes"])
+    """``docs`` with the columns shard and page, for writing; names that are taken get underscores.
+
+    Rows of a key without pages are found by their key. Where a key has pages, its rows of one size are numbered both
+    here and in ``assign``, and each number has one page, so a page gets just the bytes it was given there.
+    """
     s, p = free_name(docs, "shard"), free_name(docs, "page")
-    size = F.octet_length(as_text(quoted(text))).cast("bigint")
-    joined = docs.join(place.withColumnsRenamed({"shard": "_s", "page": "_p", "bytes": "_b"}), quoted(key).eqNullSafe(F.col("_k")) & (size == F.col("_b")))
-    return joined.select(*[quoted(c) for c in docs.columns], F.col("_s").alias(s), F.col("_p").alias(p))
+    k, size, part, no, base = (free_name(docs, x) for x in ("_k", "_size", "_part", "_no", "_base"))
+    place = cut(assign(docs, limit, key, text).select(quoted(key).alias(k), quoted("bytes").alias(size), F.col("shard").alias(s), F.col("page").alias(p)), "places")
+    homes = cut(place.groupBy(k).agg(F.first(s).alias(s), F.max(p).alias(p)), "homes")
+    out = [quoted(c) for c in [*docs.columns, s, p]]
+    plain = docs.join(homes.where(quoted(p) == 0), quoted(key).eqNullSafe(quoted(k))).select(*out)
+    paged = F.broadcast(homes.where(quoted(p) > 0).select(quoted(k).alias(base)))
+
+    to = Window.partitionBy(k, size).orderBy(p)
+    spots = place.join(paged, quoted(k).eqNullSafe(quoted(base)), "left_semi").groupBy(k, size, s, p).agg(F.count(F.lit(1)).alias("n")).withColumn("end", F.sum("n").over(to))
+    spots = spots.select(k, size, s, p, F.explode(F.sequence(F.col("end") - F.col("n") + 1, F.col("end"))).alias(no))
+
+    sized = docs.join(paged, quoted(key).eqNullSafe(quoted(base)), "left_semi").withColumn(size, F.octet_length(as_text(quoted(text))).cast("bigint"))
+    rows = cut(sized.withColumn(part, F.spark_partition_id()), "paged")
+    before = Window.partitionBy(k, size).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(quoted(key).alias(k), size, part).agg(F.count(F.lit(1)).alias("n")).select(k, size, part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(base))
+    within = F.row_number().over(Window.partitionBy(quoted(key), size, part).orderBy(size))
+    numbered = rows.withColumn(no, within).join(parts.withColumnsRenamed({size: size + "2", part: part + "2"}), quoted(key).eqNullSafe(quoted(k)) & (quoted(size) == quoted(size + "2")) & (quoted(part) == quoted(part + "2")))
+    numbered = numbered.select(*[quoted(c) for c in docs.columns], quoted(size).alias(size + "2"), (quoted(no) + quoted(base)).alias(no + "2"))
+    spread = numbered.join(spots, quoted(key).eqNullSafe(quoted(k)) & (quoted(size + "2") == quoted(size)) & (quoted(no + "2") == quoted(no))).select(*out)
+    return plain.unionByName(spread)
 
 
 def write(docs: DataFrame, folder: str, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> None:

@@ -261,6 +261,21 @@ def test_shards_of_one_hot_key_go_to_pages_that_fit(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 459
 
 
+def test_written_pages_of_a_hot_key_keep_the_limit(spark, tmp_path):
+    """All rows of one key and one size: each page that is written has the bytes that it was given."""
+    for name, key in (("one", 1), ("null", None)):
+        rows = [(key, f"{i:050d}") for i in range(300)] + [(key, f"{i:09d}") for i in range(40)] + [(i, "y" * 50) for i in range(2, 60)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        want = {(r["shard"], r["page"]): r["b"] for r in sharding.assign(df, 1_000).groupBy("shard", "page").agg(F.sum("bytes").alias("b")).collect()}
+        assert max(want.values()) <= 1_000
+        placed = sharding.shard(df, 1_000)
+        assert max(r["b"] for r in placed.groupBy("shard", "page").agg(F.sum(F.octet_length("text")).alias("b")).collect()) <= 1_000
+        sharding.write(df, str(tmp_path / name), 1_000)
+        back = [spark.read.parquet(str(d)).collect() for d in (tmp_path / name).glob("shard=*/page=*")]
+        assert all(sum(len(r["text"]) for r in rows) <= 1_000 for rows in back)
+        assert sorted((r["doc_id"] or 0, r["text"]) for rows in back for r in rows) == sorted((i or 0, t) for i, t in rows)
+
+
 # 4
 
 
