@@ -18,16 +18,18 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 
 # Names of elements by what they do in a page.
-RAW = frozenset("script style noscript template textarea title iframe svg math canvas object".split())
-INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript template textarea title iframe svg canvas object".split())
+#: Of those, what runs to the end of the page where it isn't closed; the others then count as a tag without content.
+ENDLESS = frozenset("script style textarea title".split())
+#: Formulas: parts of a sentence, whose tags neither count for nor against it.
+MATH = frozenset("annotation math menclose mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+INLINE = MATH | frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUTSIDE = frozenset("nav header footer aside form menu button select option label fieldset dialog head".split())
 CLOSED_BY = {"p": "p div article section ul ol li table h1 h2 h3 h4 h5 h6 blockquote pre nav header footer aside form main figure hr dl".split(), "li": ["li"], "dt": ["dt", "dd"], "dd": ["dt", "dd"], "tr": ["tr"], "td": ["td", "th", "tr"], "th": ["td", "th", "tr"], "option": ["option"]}
-#: What a class, id or role says of an element that isn't the article.
-SIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|aside|widget\w*|footer|header|masthead|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|comment-?list|replies|reply|disqus|form|search\w*|toolbar|pagination|pager|tags?|navigation|complementary|contentinfo)(?:$|[\s_-])",
-    re.I,
-)
+#: What a class, id or role says of an element that isn't the article: one whole name in it, made of such words only.
+_SIDE_WORD = r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|aside|widget\w*|footer|header|masthead|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|comment-?list|replies|reply|disqus|form|search\w*|toolbar|pagination|pager|tags?|navigation|complementary|contentinfo)"
+SIDE = re.compile(rf"(?:^|\s){_SIDE_WORD}(?:[_-]{_SIDE_WORD})*(?:$|\s)", re.I)
 
 
 @dataclass
@@ -44,17 +46,33 @@ class Token:
 def tokens(page: str) -> list[Token]:
     """Tags and texts in order, in one scan. Comments, declarations and the content of scripts and such are left out.
 
+    An element is a side of the page by its name or by its class, id or role, with all below it. It is none if it holds
+    main, or an article while none lies outside of sides, or (by its class, id or role, or a form) more than half of the
+    page's words in paragraphs; in a page without paragraphs, of its words that aren't links.
     Unclosed elements end where their parent does, or where HTML lets the next one close them; stray ends are ignored.
     A tag cut off by the end of the page is dropped.
     """
     out: list[Token] = []
-    stack: list[tuple[str, str, bool]] = []  # name, place, side
+    stack: list[tuple[str, str, int, bool]] = []  # name, place, innermost side, within a link
+    sides: list[_Side] = []
+    under: list[int] = []  # the innermost side of each token
+    whole = _Side(-1, True)
+    unclosed: set[str] = set()
     at, block, n = 0, 0, len(page)
 
+    def put(tag: str, text: str, place: str, mark: int) -> None:
+        out.append(Token(tag, text, place, False, block))
+        under.append(mark)
+
     def add_text(raw: str) -> None:
         if raw:
-            place, side = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-            out.append(Token("", html.unescape(raw), place, side, block))
+            place, mark, link = stack[-1][1:] if stack else ("", -1, False)
+            text = html.unescape(raw)
+            put("", text, place, mark)
+            about = sides[mark] if mark >= 0 else whole
+            words = len(text.split())
+            about.paragraphs += words if place == "p" else 0
+            about.plain += 0 if link else words
 
     while at < n:
         m = TOKEN.search(page, at)
@@ -79,11 +97,18 @@ def tokens(page: str) -> list[Token]:
                         break
             elif name not in INLINE:
                 block += 1
-            out.append(Token("/" + name, "", *(stack[-1][1:] if stack else ("", False)), block))
+            put("/" + name, "", *(stack[-1][1:3] if stack else ("", -1)))
             continue
         if name in RAW:
+            if name == "svg" and m[3].endswith("/") or name in unclosed:
+                continue
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
+            if end:
+                at = end.end()
+            elif name in ENDLESS:
+                at = n
+            else:
+                unclosed.add(name)
             continue
         if name not in INLINE:
             block += 1
@@ -94,15 +119,55 @@ def tokens(page: str) -> list[Token]:
             if stack[i][0] not in INLINE:
                 break
         about = " ".join(next(x for x in a[1:] if x) if any(a[1:]) else "" for a in ATTRIBUTE.findall(m[3])) if m[3] else ""
-        up_place, up_side = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-        aside = up_side or name in OUTSIDE and not (name == "header" and any(s[0] in ("article", "main") for s in stack)) or bool(about and name not in ("body", "html", "article", "main") and SIDE.search(about))
+        up_place, mark, link = stack[-1][1:] if stack else ("", -1, False)
+        if name in ("article", "main"):
+            about_side = sides[mark] if mark >= 0 else whole
+            about_side.articles += name == "article"
+            about_side.mains += name == "main"
+        by_name = name in OUTSIDE and not (name == "header" and any(s[0] in ("article", "main") for s in stack))
+        by_word = bool(about and name not in ("body", "html", "article", "main") and SIDE.search(about))
+        if by_name or by_word:
+            sides.append(_Side(mark, name == "form" or not by_name))
+            mark = len(sides) - 1
         place = up_place if name in INLINE else name
-        out.append(Token(name, "", place, aside, block))
+        put(name, "", place, mark)
         if name not in VOID and not m[3].endswith("/"):
-            stack.append((name, place, aside))
+            stack.append((name, place, mark, link or name == "a"))
+    _settle(sides, whole)
+    for t, mark in zip(out, under):
+        t.side = mark >= 0 and sides[mark].stays
     return out
 
 
+@dataclass
+class _Side:
+    """An element that may be a side, and what lies directly under it; ``_settle`` adds what lies in sides within it."""
+
+    up: int
+    by_words: bool  # whether holding most of the words clears it
+    mains: int = 0
+    articles: int = 0
+    paragraphs: int = 0
+    plain: int = 0
+    stays: bool = False
+
+
+def _settle(sides: list[_Side], whole: _Side) -> None:
+    """Say which sides stay; see ``tokens``. Outer ones come first, as what they hold may free an article."""
+    free, own = whole.articles, [x.articles for x in sides]
+    for x in reversed(sides):
+        up = sides[x.up] if x.up >= 0 else whole
+        for count in ("mains", "articles", "paragraphs", "plain"):
+            setattr(up, count, getattr(up, count) + getattr(x, count))
+    count = "paragraphs" if whole.paragraphs else "plain"
+    for x, mine in zip(sides, own):
+        outer = x.up >= 0 and sides[x.up].stays
+        most = x.by_words and 2 * getattr(x, count) > getattr(whole, count)
+        x.stays = outer or not (x.mains or x.articles and not free or most)
+        if not x.stays:
+            free += mine
+
+
 @dataclass
 class Weights:
     """words: score of a word by its place; tags: of a tag. What wasn't seen has the fallbacks."""
@@ -115,7 +180,7 @@ class Weights:
         if t.side:  # never part of the text: small, so that what follows an advert within an article isn't cut off
             return -0.1 if t.tag else -0.5 if words else 0.0
         if t.tag:
-            return self.tags.get(t.tag, -1.0)
+            return self.tags.get(t.tag, 0.0 if t.tag.lstrip("/") in MATH else -1.0)
         return words * self.words.get(t.place, 1.0)
 
 

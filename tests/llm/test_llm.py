@@ -562,6 +562,24 @@ def test_main_text(spark, sf):
     assert clash.columns[-2:] == ["text", "_text"]
 
 
+def test_main_text_in_wrappers_named_like_sides():
+    w = htmltext.Weights()
+    text = "<p>First words of it</p><p>Second words of it</p>"
+    want = "First words of it\nSecond words of it"
+    for about in ("class='container with-sidebar'", "id='search-results'", "class='post tag-economy'", "class='sidebar'", "class=modal role=complementary"):
+        for inner in (text, f"<article>{text}</article>", f"<main>{text}</main>"):
+            page = f"<nav>Menu</nav><div {about}>{inner}</div><div class='ad'><p>buy</p></div>"
+            assert htmltext.extract(page, w) == want, page
+    assert htmltext.extract(f"<form id=f>{text}</form>", w) == want
+    assert htmltext.extract("<div class='search'>All that is said<br>without paragraphs</div><div class=menu><a>x</a></div>", w) == "All that is said without paragraphs"
+    cards = "<div class='related'><article><p>card</p></article></div>"
+    assert htmltext.extract(f"<div class='sidebar'><article>{text}{cards}</article></div>{cards}", w) == want
+    for gap in ("<svg class='icon'/>", "<math/>", "<object>", "<canvas>", "<noscript>", "<svg>", "<svg><path/></svg>", "<noscript>no</noscript>"):
+        assert htmltext.extract(text.replace("</p><p>", f"</p>{gap}<p>"), w) == want, gap
+    assert htmltext.extract("<p>Sum <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>", w) == "Sum x=2 holds"
+    assert htmltext.extract(text + "<script>var x", w) == want
+
+
 def test_best_region_against_all_runs():
     rng = random.Random(5)
     for _ in range(200):
