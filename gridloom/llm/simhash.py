@@ -323,8 +323,9 @@ def alike_pairs(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def alike(docs: DataFrame, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, sid binary, component_id) for each row: rows are linked where the sets of their shingles of ``width`` words
-    have an intersection of 0.8 of the union or more, component_id is the smallest key reachable.
+    """(key, sid binary, root binary, component_id) for each row: rows are linked where the sets of their shingles of ``width`` words
+    have an intersection of 0.8 of the union or more, component_id is the smallest key reachable,
+    root the same for all rows of a class and no others.
 
     Fingerprints propose clusters, and the sets themselves decide. Texts of equal sets (sid) are one row from the first
     aggregate on; only those of clusters are read again, one a set, and cut into shingles for the decision. Nulls, equal
@@ -363,31 +364,41 @@ def alike(docs: DataFrame, width: int = 5, key: str = "doc_id", text: str = "tex
 
     roots = components(dealt.groupBy("deal").applyInArrow(verify, "u binary, v binary"))
     named = cut(distinct.join(roots, distinct["sid"] == roots["node"], "left").select("sid", "least", F.coalesce("component", "sid").alias("root")), "roots")
-    known = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sid", "component_id")
+    known = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sid", "root", "component_id")
     release(distinct, clusters)
-    return each.join(known, "sid").select(F.col("k").alias(key), "sid", "component_id")
+    return each.join(known, "sid").select(F.col("k").alias(key), "sid", "root", "component_id")
 
 
 def deduplicate(docs: DataFrame, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose key is the component_id of their class, all columns as they were.
 
     Classes are those of ``alike``: texts whose sets of five-word shingles are alike in 0.8 or more are linked.
-    One key stays of each class. Of rows that repeat a key one stays, the one
-    whose text hashes least, if any of them stands for its class. Rows with a null key stay. The keys that go are
-    broadcast up to MOST_BROADCAST of them, and joined beyond, which shuffles the texts once.
+    One row stays of each class, of its least
+    key, and of rows of that key in the class the one whose text hashes least. Rows of one key that are of different
+    classes are decided each by its own. Rows with a null key stay. The keys of which no row stays are broadcast up to
+    MOST_BROADCAST of them, and joined beyond, which shuffles the texts once.
     """
-    found = alike(docs, width, key, text)
-    keys = cut(found.where(quoted(key).isNotNull()).groupBy(quoted(key).alias("_k")).agg(F.count(F.lit(1)).alias("n"), F.max(quoted(key) == F.col("component_id")).alias("stays")), "keys")
+    from pyspark.sql.pandas.functions import pandas_udf
+
+    found = cut(alike(docs, width, key, text).where(quoted(key).isNotNull()).select(quoted(key).alias("_k"), "sid", "root", (quoted(key) == F.col("component_id")).alias("stands")), "alike")
+    keys = cut(found.groupBy("_k").agg(F.count(F.lit(1)).alias("n"), F.max("stands").alias("stays")), "keys")
     gone, again = keys.where(~F.col("stays")).select("_k"), keys.where(F.col("stays") & (F.col("n") > 1)).select("_k")
     if gone.count() <= MOST_BROADCAST:
         gone = F.broadcast(gone)
     kept = docs.join(gone, quoted(key) == F.col("_k"), "left_anti")
     if again.isEmpty():
         return kept
-    once = kept.join(again, quoted(key) == F.col("_k"), "left_semi")
-    rank = free_name(docs, "rank")
-    order = Window.partitionBy(quoted(key)).orderBy(F.xxhash64(quoted(text)), *[quoted(c) for c, t in docs.dtypes if not t.startswith("map")])
-    first = once.withColumn(rank, F.row_number().over(order)).where(quoted(rank) == 1).drop(rank)
+
+    @pandas_udf("binary")
+    def sid_of(column):
+        return column.map(lambda t: _sid(np.unique(shingle_hashes(t, width))))
+
+    k, sid, root, rank = (free_name(docs, x) for x in ("_k2", "_sid", "_root", "_rank"))
+    standing = found.where("stands").select(F.col("_k").alias(k), F.col("sid").alias(sid + "2"), F.col("root").alias(root)).distinct()
+    once = kept.join(again, quoted(key) == F.col("_k"), "left_semi").withColumn(sid, sid_of(as_text(quoted(text))))
+    once = once.join(standing, (quoted(key) == quoted(k)) & (quoted(sid) == quoted(sid + "2")))
+    order = Window.partitionBy(k, root).orderBy(F.xxhash64(quoted(text)), *[quoted(c) for c, t in docs.dtypes if not t.startswith("map")])
+    first = once.withColumn(rank, F.row_number().over(order)).where(quoted(rank) == 1).select(*[quoted(c) for c in docs.columns])
     return kept.join(again, quoted(key) == F.col("_k"), "left_anti").unionByName(first)
 
 

@@ -216,6 +216,13 @@ def test_near_duplicates_are_those_of_all_pairs_of_sets(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in simhash.deduplicate(df).collect()) == sorted(set(want.values()))
 
 
+def test_rows_of_one_key_are_decided_by_their_own_class(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, c), (4, d), (4, d), (5, c)]
+    got = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(1, a), (2, b), (4, c), (4, d)]
+
+
 # 3
 
 
