@@ -25,7 +25,7 @@ KINDS = {
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Every entity has one of these; a cheap first look at each text.
-HINT = r"@[A-Za-z0-9]|[0-9][0-9. ()-]{5,}[0-9]|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}|(?<!\p{L})(?:" + "|".join(MALE + FEMALE) + r")[.  ]"
+HINT = r"@[A-Za-z0-9]|\+[0-9]|[0-9][0-9. ()-]{5,}[0-9]|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}|(?<!\p{L})(?:" + "|".join(MALE + FEMALE) + r")[.  ]"
 # Parts of invented names, by script and gender.
 GIVEN = {
     ("latin", "male"): "Adam Boris Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Marco Nils Oscar Paul".split(),

@@ -448,6 +448,12 @@ def test_surrogates_stay_distinct_when_candidates_collide(spark, monkeypatch):
     assert not {r["sur"] for r in got} & {f"{i:02d}" for i in range(70)}
 
 
+def test_hint_fits_whatever_is_an_entity(spark):
+    texts = ["+12345", "+12 345", "+1 2345", "+1 (5) 23 45", "(553) 555-5580", "553-555-5580", "a@b.example", "1" * 13, "123-45-6789", "1.2.3.4", "DE89 3704 0044 0532 0130 00", "Mr John Smith", "Frau. Erika Muster"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [r["text"] for r in df.where(F.col("text").rlike(pii.ANY) & ~F.col("text").rlike(pii.HINT)).collect()] == []
+
+
 # 7
 
 
