@@ -669,11 +669,43 @@ def test_main_text_in_wrappers_named_like_sides():
     assert htmltext.extract(text + "<script>var x", w) == want
 
 
+def test_main_text_comes_from_the_region(spark, sf, monkeypatch):
+    """With the whole page for the region, most pages change: nothing but the scores leaves words out."""
+    pages = [r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    w = htmltext.learn(pages)
+    with monkeypatch.context() as m:
+        texts = [htmltext.extract(h, w) for h in pages]
+        m.setattr(htmltext, "region", lambda found, scores: found)
+        assert sum(htmltext.extract(h, w) != t for h, t in zip(pages, texts)) > 0.9 * len(pages)
+    body = "".join(f"<p>{words(random.Random(i), 30)}</p>" for i in range(4))
+    want = "\n".join(re.findall("<p>(.*?)</p>", body))
+    for page in ('<div class="content with-sidebar">%s</div>', '<div class="post tags-on">%s</div>', '<section class="social-studies">%s</section>', "<form><article>%s</article></form>", '<form action="x"><div>%s</div></form>'):
+        page = "<body><nav><ul><li><a href=x>Menu</a></li></ul></nav>" + page % body + "<div class='ad'>Buy this.</div><footer>Foot words</footer></body>"
+        assert htmltext.extract(page, w) == htmltext.extract(page, htmltext.Weights()) == want, page
+    # learned: a class that only labelled pages tell to be an advert
+    odd = [f"<article><p>{words(random.Random(i), 40)}</p></article><div class='zq'><p>{words(random.Random(-i), 9)}</p></div>" for i in range(30)]
+    page = f"<div>{body}</div><div class='zq'><p>{words(random.Random(1), 9)}</p></div>"
+    assert htmltext.extract(page, htmltext.learn(odd)) == want != htmltext.extract(page, htmltext.Weights())
+
+
+def test_main_text_takes_time_in_proportion():
+    import time
+
+    w = htmltext.Weights()
+    n = 20_000
+    hostile = ["<div>" * n + "</span>" * n, "<b>" * n + "<i>" * n, "<a \"" * n, "<a '" * n, "<!" * n, "<div class=ad>" * n + "x", "<p><b>" * n, "<" * n, "<li><ul>" * n, "<div class='" + "c " * n + "'>" * 3, "<form>" * n + "<p>x</p>" * 9, "<article>" * n + "x", "<svg>" * n, "&" * n, "<aside>" * n + "</aside>" * n]
+    for page in hostile:
+        start = time.perf_counter()
+        htmltext.extract(page, w)
+        htmltext.extract(page + page, w)
+        assert time.perf_counter() - start < 6, page[:20]
+
+
 def test_best_region_against_all_runs():
     rng = random.Random(5)
     for _ in range(200):
         s = [rng.randrange(-5, 6) for _ in range(rng.randrange(0, 15))]
-        a, b = htmltext.region([float(x) for x in s])
+        a, b = htmltext.best_run([float(x) for x in s])
         assert sum(s[a:b]) == max([0, *(sum(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1))])
 
 
