@@ -283,6 +283,31 @@ def test_written_pages_of_a_hot_key_keep_the_limit(spark, tmp_path):
         assert sorted((r["doc_id"] or 0, r["text"]) for rows in back for r in rows) == sorted((i or 0, t) for i, t in rows)
 
 
+def test_pages_of_repeated_and_oversized_texts(spark):
+    """A long text doesn't make pages of the short ones beside it, and equal rows spread over pages one to one."""
+    rows = [(1, "x" * 10)] * 50 + [(1, "y" * 5_000), (1, "z" * 700), (1, "z" * 700)] + [(2, "w" * 100)] * 50 + [(3, None)] * 9
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("_k", "_s", "_p", "_b", "_size", "_size2", "_part", "_no", "shard", "cell", "h", "bytes")}).repartition(4)
+    for placed in (sharding.assign(df, 1_000).select("doc_id", "shard", "page", "bytes"), sharding.shard(df, 1_000).select("doc_id", F.col("_shard").alias("shard"), "page", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))):
+        pages = {}
+        for r in placed.collect():
+            pages.setdefault((r["doc_id"], r["shard"], r["page"]), []).append(r["bytes"])
+        assert sorted(sum(b) for (k, *_), b in pages.items() if k == 1) == [500, 700, 700, 5_000]
+        assert all(sum(b) <= 1_000 for (k, *_), b in pages.items() if k != 1) and 5 <= sum(k == 2 for k, *_ in pages) <= 6
+        assert sum(map(len, pages.values())) == len(rows)
+
+
+def test_directory_of_deep_buckets(spark, monkeypatch):
+    """Keys whose hashes share many bits: buckets split far below the first round, beyond the broadcast too."""
+    h = lambda k: F.when(k < 64, k * (1 << 40)).otherwise((k * 0x9E3779B97F4A7) % (1 << sharding.BITS)).cast("bigint")
+    monkeypatch.setattr(sharding, "hash_of", lambda key: h(key))
+    rows = [(i, "x" * 10) for i in range(64)] + [(i, "y" * 10) for i in range(1_000, 1_100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = slow_shards([(i, i << 40 if i < 64 else i * 0x9E3779B97F4A7 % (1 << sharding.BITS), len(t)) for i, t in rows], 50)
+    monkeypatch.setattr(sharding, "MOST_BROADCAST", 20)
+    assert sorted((r["doc_id"], r["shard"], r["shard_bytes"]) for r in sharding.assign(df, 50).collect()) == want
+    assert max(len(b) for _, b, _ in want) > 16
+
+
 # 4
 
 
