@@ -17,7 +17,7 @@ from gridloom.runtime import free_name, quoted, table
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words whose terms a worker remembers; the rest are hashed each time.
-MOST_CACHED = 60_000
+MOST_CACHED = 120_000
 
 
 @dataclass
@@ -51,12 +51,17 @@ class Model:
     bias: float = -2.0
 
     def features(self, text: str) -> tuple[list[int], list[float]]:
-        """Places in ``terms`` and values."""
+        """Places in ``terms`` and values: 1 + log of how often the words of a term occur."""
         where = self._where()
-        found: Counter[int] = Counter()
-        for h in hashed(text, self.settings, self._cache):
-            if (i := where.get(h)) is not None:
-                found[i] += 1
+        found: dict[int, int] = {}
+        for w, c in Counter(_WORD.findall(text.lower())).items():
+            at = self._cache.get(w)
+            if at is None:
+                at = tuple(where[h] for h in word_hashes(w, self.settings) if h in where)
+                if len(self._cache) < MOST_CACHED:
+                    self._cache[w] = at
+            for i in at:
+                found[i] = found.get(i, 0) + c
         return list(found), [1 + math.log(c) for c in found.values()]
 
     def score(self, text: str) -> float:
@@ -73,22 +78,19 @@ class Model:
     def _where(self) -> dict[int, int]:
         if not hasattr(self, "_index"):
             self._index = {int(h): i for i, h in enumerate(self.terms)}
-            self._cache: dict[str, tuple[int, ...]] = {}
+            self._cache: dict[str, tuple[int, ...]] = {}  # of words, their places in terms
         return self._index
 
 
-def hashed(text: str, settings: Settings, cache: dict[str, tuple[int, ...]] | None = None) -> list[int]:
-    """The hashed terms of each distinct word of the text: the word itself and its beginnings, marked as such."""
-    out: list[int] = []
-    for w in set(_WORD.findall(text.lower())):
-        known = cache.get(w) if cache is not None else None
-        if known is None:
-            terms = [w, *(w[:n] + "\x01" for n in settings.prefixes if len(w) > n)]
-            known = tuple(zlib.crc32(t.encode("utf-8", "replace")) % settings.buckets for t in terms)
-            if cache is not None and len(cache) < MOST_CACHED:
-                cache[w] = known
-        out += known
-    return out
+def word_hashes(word: str, settings: Settings) -> list[int]:
+    """The hashed terms of a word: the word itself and its beginnings, marked as such."""
+    terms = [word, *(word[:n] + "\x01" for n in settings.prefixes if len(word) > n)]
+    return [zlib.crc32(t.encode("utf-8", "replace")) % settings.buckets for t in terms]
+
+
+def hashed(text: str, settings: Settings) -> set[int]:
+    """The hashed terms of the words of a text."""
+    return {h for w in set(_WORD.findall(text.lower())) for h in word_hashes(w, settings)}
 
 
 def fit(texts: DataFrame, settings: Settings | None = None) -> Model:
@@ -104,7 +106,7 @@ def fit(texts: DataFrame, settings: Settings | None = None) -> Model:
             _, labels, bodies = columns
             total: dict[int, list[int]] = {}
             for y, t in zip(labels, bodies):
-                for h in set(hashed(t, settings)):
+                for h in hashed(t, settings):
                     total.setdefault(h, [0, 0])[y] += 1
             return [list(total), [c[0] for c in total.values()], [c[1] for c in total.values()]]
 
@@ -212,7 +214,12 @@ def labelled(docs: DataFrame, labels: DataFrame, settings: Settings, key: str =
 
 
 def scores(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, threshold: float = 0.7) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of each row of ``docs``; a null doc_id isn't held out."""
+    """(doc_id, held_out, score, predicted) of each row of ``docs``; a null doc_id isn't held out.
+
+    Null and empty texts get the score of a text without a term, whole texts count however long they are, repeated rows
+    each give a row, an empty table none. Other columns may have any name; none but the text goes into a score. Without
+    labels of both kinds every text gets the share of the one (a half without any).
+    """
     settings = settings or Settings()
     model = fit(labelled(docs, labels, settings), settings)
     slim = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").alias("t"))

@@ -404,6 +404,46 @@ def test_gradient_of_the_margin():
     assert m.margin(at, x) == pytest.approx(0.3 + m.weights[at] @ x + pairs)
 
 
+def test_scores_and_terms_against_plain_loops(spark, monkeypatch):
+    """Terms by chi-square over all labelled rows, and the score as the sum over all pairs of terms."""
+    import math
+    import zlib
+
+    rng = random.Random(21)
+    mean = ["scum", "idiots", "Idiot", "pathetic"]
+    rows = [(i, " ".join(rng.choice(mean) if (toxic := i % 3 == 0) and rng.random() < 0.3 else f"w{rng.choice('abcdefgh')}x" for _ in range(rng.randrange(1, 30))), int(toxic)) for i in range(300)]
+    rows += [(300, "", 0), (301, None, 0), (302, "idiot " * 50_000, 1)]
+    s = toxicity.Settings(epochs=5, least_rows=3)
+    texts = spark.createDataFrame([(i, t or "", y) for i, t, y in rows], "k long, t string, y int").repartition(3).select("k", "y", "t")
+    model = toxicity.fit(texts, s)
+
+    def terms(t):
+        return [zlib.crc32(x.encode()) % s.buckets for w in re.findall(r"[^\W\d_]+", (t or "").lower()) for x in (w, *(w[:n] + "\x01" for n in s.prefixes if len(w) > n))]
+
+    counts = {}
+    for _, t, y in rows:
+        for h in set(terms(t)):
+            counts.setdefault(h, [0, 0])[y] += 1
+    neg, pos = sum(y == 0 for *_, y in rows), sum(y == 1 for *_, y in rows)
+    chi = {h: (b * neg - a * pos) ** 2 * (neg + pos) / ((a + b) * (neg + pos - a - b + 1) * neg * pos) for h, (a, b) in counts.items() if a + b >= s.least_rows}
+    assert set(model.terms.tolist()) == {h for h, c in chi.items() if c >= s.least_chi} and len(model.terms) > 5
+    monkeypatch.setattr(toxicity, "MOST_CACHED", 2)
+    got = {r["i"]: r["score"] for r in toxicity.score(spark.createDataFrame([(i, t) for i, t, _ in rows], "i long, text string"), model).collect()}
+    for i, t, _ in rows:
+        x = {}
+        for h in terms(t):
+            if h in model.terms:
+                x[h] = x.get(h, 0) + 1
+        at = {h: list(model.terms).index(h) for h in x}
+        x = {h: 1 + math.log(c) for h, c in x.items()}
+        margin = model.bias + sum(model.weights[at[h]] * v for h, v in x.items())
+        for a in x:
+            for b in x:
+                if at[a] < at[b]:
+                    margin += float(model.factors[at[a]] @ model.factors[at[b]]) * x[a] * x[b]
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-max(-40, min(40, margin)))), abs=1e-9)
+
+
 def test_toxicity_on_held_out_rows(spark, sf, docs, none):
     d = sf.replace("sf0.001", "sf0.01")
     labels = spark.read.parquet(f"{d}/labels.parquet")
