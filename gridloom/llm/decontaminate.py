@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.arrowtext import as_text, map_rows
-from gridloom.runtime import quoted, table
+from gridloom.runtime import cut, quoted, table
 
 
 @dataclass(frozen=True)
 class Settings:
     """q: bytes of a gram. stride: every so many grams of an item are indexed. share: of an item's bytes that may be
-    edited. least: items with fewer normalised bytes aren't searched (they'd match by chance). most_bytes: of all
-    items together, which go along with each task; more raise an error, and are to be searched in parts."""
+    edited. least: items with fewer normalised bytes are found as they are only, as whole words, without an edit.
+    most_bytes: of items that go along with a task at once; more are searched in parts, one after another."""
 
     q: int = 8
     stride: int = 2
@@ -63,7 +65,8 @@ def grams(b: np.ndarray, q: int) -> np.ndarray:
 
 
 class Index:
-    """The sampled grams of all items, in order, with a table of hash bits for a quick look."""
+    """The sampled grams of all items, in order, with a table of hash bits for a quick look; short items apart, in an
+    automaton that finds all of them in one scan. keys: of the long items, then of the short ones."""
 
     BITS = 22
 
@@ -71,9 +74,11 @@ class Index:
         self.settings = s = settings
         self.keys, self.items, self.edits, self.need = [], [], [], []
         codes, owners, places = [], [], []
+        short: list[tuple[object, bytes]] = []
         for key, text in items:
             b = normal(text)
             if len(b) < s.least:
+                short += [(key, b.tobytes())] if len(b) else []
                 continue
             k = int(len(b) * s.share)
             g = grams(b, s.q)[:: s.stride]
@@ -86,8 +91,6 @@ class Index:
             self.items.append(b)
             self.edits.append(k)
             self.need.append(max(1, need))
-        if sum(map(len, self.items)) > s.most_bytes:
-            raise ValueError(f"items of more than {s.most_bytes} bytes: search them in parts")
         self.edits, self.need = np.array(self.edits, np.int64), np.array(self.need, np.int64)
         code = np.concatenate(codes) if codes else np.empty(0, np.uint64)
         order = np.argsort(code, kind="stable")
@@ -101,6 +104,13 @@ class Index:
         self.longest = max(map(len, self.items), default=0)
         #: Bands are twice this wide and start this far apart, so that each band of one more than the edits lies in one.
         self.width = int(max(self.edits, default=0)) + 1
+        self.words = ahocorasick.Automaton() if short else None
+        for key, b in short:
+            whole = f" {b.decode('latin-1')} "
+            self.words.add_word(whole, (len(b), [*(self.words.get(whole, (0, []))[1]), len(self.keys)]))
+            self.keys.append(key)
+        if short:
+            self.words.make_automaton()
 
     def _slot(self, code: np.ndarray) -> np.ndarray:
         return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)
@@ -159,6 +169,10 @@ class Index:
         """For each item that occurs with its edits at most: least edits, and start and end bytes in the normal text."""
         b = normal(text)
         best: dict[int, tuple[int, int, int]] = {}
+        if self.words:
+            for end, (size, found) in self.words.iter(f" {b.tobytes().decode('latin-1')} "):
+                for item in found:
+                    best.setdefault(item, (0, end - size - 1, end - 1))
         overlap = 2 * self.longest + 4 * self.width + self.settings.q
         for start in range(0, max(1, len(b)), PIECE):
             piece = b[max(0, start - overlap) : start + PIECE]
@@ -216,26 +230,29 @@ def banded(a: np.ndarray, b: np.ndarray, lo: int, hi: int, k: int) -> tuple[int,
     return (edits, int(begin[at]), len(a) + lo + at) if edits <= k else None
 
 
-def _items(benchmark: DataFrame, settings: Settings) -> list[tuple[int, str]]:
-    """The items on the driver, once their size is known to be within the bound; null ids are left out."""
+def _parts(benchmark: DataFrame, settings: Settings) -> Iterator[list[tuple[int, str]]]:
+    """The items on the driver, in parts of ``most_bytes`` at most (or one item); null ids are left out."""
     rows = benchmark.select(F.col("item_id").cast("bigint").alias("i"), as_text(F.col("text")).alias("t")).where("i is not null")
     size = rows.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
-    if size > settings.most_bytes:
-        raise ValueError(f"the benchmark has {size} bytes, over most_bytes")
-    return sorted((r["i"], r["t"]) for r in rows.collect())
+    if size <= settings.most_bytes:
+        yield sorted((r["i"], r["t"]) for r in rows.collect())
+        return
+    n = -(-5 * size // (4 * settings.most_bytes))
+    part = lambda: F.pmod(F.xxhash64("i", "t"), F.lit(n))
+    while True:
+        sums = rows.groupBy(part().alias("p")).agg(F.sum(F.octet_length("t")).alias("b"), F.count_distinct("i", "t").alias("n"))
+        if sums.where((F.col("b") > settings.most_bytes) & (F.col("n") > 1)).isEmpty():
+            break
+        n *= 2
+    for p in range(n):
+        yield sorted((r["i"], r["t"]) for r in rows.where(part() == p).collect())
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_items, items, edits, starts, ends) of each row of ``docs``: ids of the benchmark items (ascending) that
-    occur in its whole text with at most their share of bytes edited, the least edits of each, and the bytes of the
-    normal text where it lies. Case, punctuation and white space count for nothing.
+_FOUND = "items array<bigint>, edits array<bigint>, starts array<bigint>, ends array<bigint>"
 
-    One pass without a shuffle; the benchmark, bounded by ``most_bytes``, goes along with each task. Null and empty
-    texts hold no item; null, empty and too short items are never found; items that repeat an id count once each.
-    Rows that repeat each give a row.
-    """
-    settings = settings or Settings()
-    items = _items(benchmark, settings)
+
+def _searched(slim: DataFrame, name: str, items: list, settings: Settings) -> DataFrame:
+    """(name, n_items, items, edits, starts, ends) of each row of (name, t)."""
 
     def work():
         index = Index(items, settings)
@@ -252,26 +269,65 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = N
 
         return step
 
-    slim = docs.select(quoted(key).alias("k"), as_text(quoted(text)).alias("t"))
-    kind = docs.schema[key].dataType.simpleString()
-    return map_rows(slim, {"k": "k", "t": "t"}, f"{key} {kind}, n_items long, items array<bigint>, edits array<bigint>, starts array<bigint>, ends array<bigint>", work)
+    kind = slim.schema[name].dataType.simpleString()
+    return map_rows(slim, {name: name, "t": "t"}, f"`{name}` {kind}, n_items long, {_FOUND}", work)
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_items, items, edits, starts, ends) of each row of ``docs``: ids of the benchmark items (ascending) that
+    occur in its whole text with at most their share of bytes edited, the least edits of each, and the bytes of the
+    normal text where it lies. Case, punctuation and white space count for nothing.
+
+    One pass without a shuffle for each ``most_bytes`` of the benchmark, which go along with the tasks; where that takes
+    several, rows are numbered, and what each pass found meets by number. Null and empty texts hold no item; null and
+    empty items are never found; items that repeat an id count once each. Very long texts are searched whole, in pieces
+    that overlap. Rows that repeat each give a row, an empty table none; other columns may have any name.
+    """
+    settings = settings or Settings()
+    name = "k"
+    slim = docs.select(quoted(key).alias(name), as_text(quoted(text)).alias("t"))
+    parts = _parts(benchmark, settings)
+    first, second = next(parts), next(parts, None)
+    if second is None:
+        return _searched(slim, name, first, settings).withColumnRenamed(name, key)
+    rows = cut(slim.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    each = []
+    for items in (first, second, *parts):
+        found = _searched(rows.select("_row", "t"), "_row", items, settings).where("n_items > 0")
+        each.append(cut(found.select("_row", F.inline(F.arrays_zip("items", "edits", "starts", "ends"))), "found"))
+    whole = each[0]
+    for e in each[1:]:
+        whole = whole.unionByName(e)
+    fields = ["items", "edits", "starts", "ends"]
+    put = whole.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("all"))
+    out = rows.select("_row", F.col("k").alias(key)).join(put, "_row", "left")
+    none = F.array().cast("array<bigint>")
+    return out.select(quoted(key), F.coalesce(F.array_size("all"), F.lit(0)).cast("long").alias("n_items"), *[F.coalesce(F.col("all")[f], none).alias(f) for f in fields])
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text holds no item, columns as they were; null texts stay. No shuffle."""
+    """The rows of ``docs`` whose text holds no item, columns as they were; null texts stay. No shuffle; where the
+    benchmark takes several passes, what each keeps is written for the next."""
     from pyspark.sql.pandas.functions import pandas_udf
 
     settings = settings or Settings()
-    items = _items(benchmark, settings)
-    index: list[Index] = []
 
-    @pandas_udf("boolean")
-    def clean(column):
-        if not index:
-            index.append(Index(items, settings))
-        return column.map(lambda t: not index[0].search(t or ""))
+    def pass_of(rows: DataFrame, items: list) -> DataFrame:
+        index: list[Index] = []
+
+        @pandas_udf("boolean")
+        def clean(column):
+            if not index:
+                index.append(Index(items, settings))
+            return column.map(lambda t: not index[0].search(t or ""))
 
-    return docs.where(clean(quoted(text).cast("string")))
+        return rows.where(clean(quoted(text).cast("string")))
+
+    parts = _parts(benchmark, settings)
+    out = pass_of(docs, next(parts))
+    for items in parts:
+        out = pass_of(cut(out, "clean"), items)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -360,8 +360,27 @@ def test_matches_lose_no_occurrence_within_the_budget(spark, docs, none):
     kept = decontaminate.remove(docs, bench)
     assert kept.count() == docs.count() and kept.columns == docs.columns
     assert decontaminate.matches(docs, bench.limit(0)).where("n_items > 0").count() == 0
-    with pytest.raises(ValueError):
-        decontaminate.matches(docs, bench, decontaminate.Settings(most_bytes=10))
+
+
+def test_benchmarks_in_parts_and_short_items(spark, docs, none):
+    """Beyond the bytes that go along at once, and under the least length: nothing is lost across either bound."""
+    rng = random.Random(11)
+    items = [(i, words(rng, 12, 300)) for i in range(30)] + [(50, "two words"), (51, "Yes!"), (51, "w1 w2"), (52, ""), (53, "?!"), (54, "é漢"), (None, "no")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(d, words(rng, 40, 300) + " " + " ".join(items[i][1] or "" for i in rng.sample(range(36), 3)) + "; Two -- WORDS" * (d % 2) + " twowords yesterday é漢x") for d in range(60)] + [(7, rows_[1]) for rows_ in [(0, "W1, w2")]] + [(None, None), (8, "")]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "k long, body string, _row int, all int")
+    whole = sorted(map(repr, decontaminate.matches(df, bench, key="k", text="body").collect()))
+    s = decontaminate.Settings(most_bytes=700)
+    assert sorted(map(repr, decontaminate.matches(df, bench, s, key="k", text="body").collect())) == whole
+    norm = lambda t: f" {decontaminate.normal(t or '').tobytes().decode('latin-1')} "
+    for r in decontaminate.matches(df, bench, key="k", text="body").collect():
+        t = [t for k, t in rows if k == r["k"]]
+        short = [{i for i, x in items[30:] if i and norm(x).strip() and norm(x) in norm(y)} for y in t]
+        assert {i for i in r["items"] if i >= 30} in short
+    for settings in (decontaminate.Settings(), s):
+        kept = decontaminate.remove(df, bench, settings, text="body")
+        assert kept.columns == df.columns and kept.count() == sum("n_items=0" in r for r in whole)
+    assert decontaminate.matches(none, bench, s).count() == 0 and decontaminate.matches(docs, bench, s).count() == docs.count()
 
 
 def test_matches_across_pieces_of_a_long_text(monkeypatch):
