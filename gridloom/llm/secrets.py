@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -24,14 +25,20 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 ORDER = {k: i for i, k in enumerate(("assign", "access", "hex", "jwt", "key", "pem"))}
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,.-]*?)-----END \1-----")
-JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
-LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}(?![0-9A-Fa-f])")
+BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
+PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s:,.\\-]*+")
+JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+")
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+={0,2}")
+LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}+")
+#: The same over several lines, whose breaks may be written as \\n.
+BREAK = r"(?:\\r)?(?:\\n|\r?\n)[ \t]*+"
+WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{32,}}+(?:{BREAK}[A-Za-z0-9+/_-]++)++={{0,2}}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+HEX_LINE = re.compile(r"[0-9A-Fa-f]+")
 #: A text without white-space-free runs of this length can only hold assignments and PEM blocks.
 LEAST_RUN = 20
-#: Encodings within encodings that are followed.
-DEPTH = 3
+#: Encodings within encodings that are followed; each is a quarter shorter than what holds it, at least.
+DEPTH = 8
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -146,34 +153,67 @@ def is_key(raw: bytes, depth: int = DEPTH) -> bool:
         return True
     if depth <= 1:
         return False
-    try:
-        text = raw.decode("ascii")
-    except UnicodeDecodeError:
-        return False
-    return any(True for _ in confirmed(text, depth - 1))
+    return any(True for _ in confirmed(raw.decode("latin-1"), depth - 1))
+
+
+def _unhex(s: str) -> bytes | None:
+    return bytes.fromhex(s) if len(s) % 2 == 0 else None
+
+
+def _blocks(text: str):
+    """(start, end, body) of PEM blocks of private keys: what lies between a BEGIN line and the END line of the same
+    name, with no other such line between."""
+    for m in BEGIN.finditer(text):
+        stop = text.find("-----", m.end())
+        end = f"-----END {m[1]}-----"
+        if stop >= 0 and text.startswith(end, stop) and PEM_BODY.fullmatch(text, m.end(), stop):
+            yield m.start(), stop + len(end), text[m.end() : stop].replace("\\r", "").replace("\\n", "\n")
+
+
+def _wrapped(text: str):
+    """(start, end, whole) of encodings cut into lines of one length, the last of which may be shorter; where the last
+    is as long as the others, also without what follows it."""
+    for m in WRAPPED.finditer(text):
+        for line in (HEX_LINE, LINE):
+            parts = list(re.compile(rf"(?:^|{BREAK})({line.pattern})(?=\s|\\|$)").finditer(m[0]))
+            if len(parts) < 2:
+                continue
+            size = len(parts[0][1])
+            k = next((i for i, p in enumerate(parts) if len(p[1]) != size), len(parts))
+            for n in ((k + 1, k) if k < len(parts) and len(parts[k][1]) < size else (k,)):
+                if n > 1:
+                    yield m.start(), m.start() + parts[n - 1].end(), "".join(p[1] for p in parts[:n]), _unhex if line is HEX_LINE else _decode64
 
 
 def confirmed(text: str, depth: int = DEPTH):
-    """(kind, start, end) of what its structure confirms: pem blocks, jwt tokens, keys in bare base64 or hex."""
+    """(kind, start, end) of what its structure confirms: pem blocks, jwt tokens, keys in bare base64 or hex, in one
+    piece or in lines. None overlaps one found before. Time is in proportion to the text for each depth."""
     taken: list[tuple[int, int]] = []
-    free = lambda m: not any(a < m.end() and m.start() < b for a, b in taken)
+
+    def free(a: int, b: int) -> bool:
+        i = bisect.bisect_left(taken, (b,))
+        return i == 0 or taken[i - 1][1] <= a
+
+    def take(kind: str, a: int, b: int) -> tuple[str, int, int]:
+        bisect.insort(taken, (a, b))
+        return kind, a, b
+
     if "PRIVATE KEY-----" in text:
-        for m in PEM.finditer(text):
-            body = re.sub(r"(?m)^[A-Za-z-]+:.*$", "", m[2])
-            raw = _decode64("".join(body.split()))
-            if raw and (is_der_key(raw) or is_openssh_key(raw) or "Proc-Type" in m[2] and len(raw) % 8 == 0):
-                taken.append(m.span())
-                yield ("pem", *m.span())
+        for a, b, body in _blocks(text):
+            raw = _decode64("".join(re.sub(r"(?m)^[A-Za-z-]++:.*$", "", body).split()))
+            if raw and (is_der_key(raw) or is_openssh_key(raw) or "Proc-Type" in body and len(raw) % 8 == 0):
+                yield take("pem", a, b)
     if "eyJ" in text:
         for m in JWT.finditer(text):
-            if free(m) and is_token(m[0]):
-                taken.append(m.span())
-                yield ("jwt", *m.span())
-    for pattern, decode in ((LONG_HEX, lambda s: bytes.fromhex(s) if len(s) % 2 == 0 else None), (BASE64, _decode64)):
+            if free(*m.span()) and is_token(m[0]):
+                yield take("jwt", *m.span())
+    for pattern, decode in ((LONG_HEX, _unhex), (BASE64, _decode64)):
         for m in pattern.finditer(text):
-            if free(m) and (raw := decode(m[0])) and is_key(raw, depth):
-                taken.append(m.span())
-                yield ("key", *m.span())
+            if free(*m.span()) and (raw := decode(m[0])) and is_key(raw, depth):
+                yield take("key", *m.span())
+    for a, b, whole, decode in _wrapped(text):
+        if free(a, b) and (raw := decode(whole)) and is_key(raw, depth):
+            yield take("key", a, b)
 
 
 def spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -205,7 +245,8 @@ def scan(docs: DataFrame, text: str = "text", into: str = "secrets") -> DataFram
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_assign, n_access, n_hex, base_sha256, spans) of each row; null and empty texts have no span.
 
-    Repeated rows each give a row; null keys stay null.
+    Repeated rows each give a row; null keys stay null; an empty table gives no row; other columns may have any name.
+    Texts are read whole, however long, in time in proportion to their length.
     """
 
     def work():

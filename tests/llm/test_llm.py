@@ -837,9 +837,42 @@ def test_confirmed_secrets():
     assert kinds("A" * 200) == [] and kinds(base64.b64encode(b"plain words of some length, nothing more than that").decode()) == []
 
 
+def test_confirmed_secrets_in_other_forms():
+    kinds = lambda t: [(k, t[a:b]) for k, a, b in secrets.spans(t)[1] if k in ("jwt", "key", "pem")]
+    for raw in (*key_bytes(), ssh_key()):
+        b64 = base64.b64encode(raw).decode()
+        for body, size in ((b64, 64), (raw.hex(), 64)):
+            lines = [body[i : i + size] for i in range(0, len(body), size)]
+            if len(lines) > 1 and len(lines[-1]) < size:
+                for br in ("\n", "\r\n", "\\n", "\n  "):
+                    t = br.join(lines)
+                    assert kinds(f"so\n{t}\nThen words") == [("key", t)], t
+        pem = "-----BEGIN RSA PRIVATE KEY-----\\n" + "\\n".join(b64[i : i + 64] for i in range(0, len(b64), 64)) + "\\n-----END RSA PRIVATE KEY-----\\n"
+        assert kinds('{"key": "' + pem + '"}') == [("pem", pem[:-2])]
+        inner = base64.b64encode("é ".encode() + b64.encode()).decode()
+        assert kinds(inner) == [("key", inner)]
+        deep = b64
+        for _ in range(5):
+            deep = base64.b64encode(deep.encode()).decode()
+        assert kinds(deep) == [("key", deep)]
+        broken = pem.replace("END RSA", "END EC")
+        assert [k for k, _ in kinds(broken)] in ([], ["key"])
+
+
+def test_secrets_take_time_in_proportion():
+    import time
+
+    rsa = base64.b64encode(key_bytes()[0]).decode()
+    pem = f"-----BEGIN PRIVATE KEY-----\n{rsa}\n-----END PRIVATE KEY-----\n"
+    for t in ("-----BEGIN RSA PRIVATE KEY-----" * 8_000, "-----BEGIN RSA PRIVATE KEY-----\n" * 8_000, pem * 1_000, (rsa + " ") * 1_000, "eyJ" * 80_000, "eyJa.eyJb." * 20_000, "password" + " " * 200_000, "0f" * 100_000, ("A" * 40 + "\n") * 5_000, ("A" * 40 + " ") * 5_000, "AKIA" * 50_000, "A" * 250_000, "-" * 250_000, "-----BEGIN " * 20_000):
+        start = time.perf_counter()
+        secrets.spans(t + t)
+        assert time.perf_counter() - start < 8, t[:30]
+
+
 def slow_base(text):
     out = []
-    rules = {"assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 6), "access": (secrets.ACCESS, lambda m: len(m[0]) >= 20), "hex": (secrets.HEX, lambda m: len(m[0]) >= 24)}
+    rules = {"assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 6), "access": (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20), "hex": (re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24)}
     for n, (kind, (p, good)) in enumerate(rules.items()):
         out += [(m.start(), n, f"{kind}:{m.start()}:{m.end()}") for m in p.finditer(text or "") if good(m)]
     return ",".join(x for *_, x in sorted(out))
