@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -10,10 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.functions import arrow_udf, pandas_udf
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from gridloom.llm.arrowtext import as_text
-from gridloom.runtime import quoted, table
+from gridloom.runtime import cut, free_name, quoted, table
 
 #: k-mers are this many code points; each tuple has this many of them; a fingerprint has this many tuples.
 LENGTH, TUPLE, TUPLES = 8, 2, 64
@@ -23,6 +25,8 @@ _XOR = np.random.default_rng(21).integers(0, 1 << 32, TUPLES, dtype=np.uint64).a
 #: LENGTH is a power of two.
 _POWERS = [(1 << i, np.uint64(pow(int(_BASE), 1 << i, 1 << 64))) for i in range(LENGTH.bit_length() - 1)]
 _BLOCK = 8_192
+#: Runs of rows in order at most, and rows that a worker hands on at once for one that stands for many.
+MOST_RUNS, COPIES = 4_096, 10_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -104,10 +108,6 @@ def written(s: np.ndarray) -> str:
 
 def fingerprint(docs: DataFrame, text: str = "text", into: str = "fingerprint") -> DataFrame:
     """``docs`` with the fingerprint of the whole text as hexadecimal digits; null counts as empty. No shuffle."""
-    from pyspark.sql.pandas.functions import pandas_udf
-
-    from gridloom.runtime import free_name
-
     @pandas_udf("string")
     def run(column):
         return column.map(lambda t: written(signature(t or "")))
@@ -116,64 +116,103 @@ def fingerprint(docs: DataFrame, text: str = "text", into: str = "fingerprint")
 
 
 def in_order(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(b, helper, k, o, t): rows in runs of descending keys, each run followed by the first row of the next run.
+    """(b, helper, k, t, c): rows in runs of descending keys, each run followed by the first row of the next run.
 
-    Runs are ranges of keys between quantiles (as many as twice the shuffle partitions, 4,096 at most); the heads of
-    the runs, one key each, come to the driver. Every row is shuffled once, and heads twice. Null keys go last. Rows of
-    one key stay in one run, by hash and text.
+    Rows of one key follow each other by hash and text; null keys go last. c: rows that this one stands for, as equal
+    rows of which there are more than a run should hold are one row here, gathered without their copies being shuffled.
+    Runs have about equal bytes (four runs a shuffle partition, MOST_RUNS at most); they are cut at rows of a sample,
+    a bounded number of keys and hashes, which come to the driver like the first key of each run. A worker finds a
+    row's run by bisection. Every text is shuffled once, and first ones twice.
     """
     spark = docs.sparkSession
-    least = -(1 << 63)
-    n = max(2, min(4096, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    slim = docs.select(quoted(key).alias("k"), F.coalesce(quoted(key).cast("bigint"), F.lit(least)).alias("o"), as_text(quoted(text)).alias("t"))
-    found = slim.agg(F.percentile_approx("o", [i / n for i in range(1, n)], 20 * n).alias("q")).first()["q"] or []
-    cuts = sorted(set(found))
-    above = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>") if cuts else F.array().cast("array<bigint>")
-    run = F.size(F.filter(above, lambda c: c > F.col("o")))
-    heads = {r["b"]: r["head"] for r in slim.groupBy(run.alias("b")).agg(F.max("o").alias("head")).collect()}
-    order = sorted(heads)
-    into = [(heads[b], order[i - 1]) for i, b in enumerate(order)]  # the head of the first run ends the last one
-    named = slim.withColumn("b", run)
-    ends = F.array(*[F.struct(F.lit(h).cast("bigint").alias("o"), F.lit(b).alias("b")) for h, b in into]) if into else F.array(F.struct(F.lit(0).cast("bigint").alias("o"), F.lit(0).alias("b")))
-    extra = F.element_at(F.filter(ends, lambda e: e["o"] == F.col("o")), 1)["b"] if into else F.lit(None).cast("int")
-    is_head = F.array_contains(F.array(*[F.lit(h).cast("bigint") for h, _ in into]), F.col("o")) if into else F.lit(False)
-    places = F.when(is_head, F.array(F.struct(F.col("b"), F.lit(0).alias("helper")), F.struct(extra.alias("b"), F.lit(1).alias("helper")))).otherwise(F.array(F.struct(F.col("b"), F.lit(0).alias("helper"))))
-    return named.select("k", "o", "t", F.inline(places)).repartition("b").sortWithinPartitions("b", "helper", F.desc("o"), F.xxhash64("t"), "t")
+    n = max(2, min(MOST_RUNS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    t = as_text(quoted(text))
+    kind = docs.schema[key].dataType.simpleString()
+    order = {"timestamp": F.unix_micros, "float": lambda k: F.nanvl(k, F.lit(None)), "double": lambda k: F.nanvl(k, F.lit(None))}.get(kind, lambda k: k)
+    slim = docs.select(quoted(key).alias("k"), order(quoted(key)).alias("o"), F.xxhash64(t).alias("h"), F.octet_length(t).alias("bytes"), t.alias("t"))
+    counts = cut(slim.groupBy("o", "h").agg(F.count(F.lit(1)).alias("c"), F.sum("bytes").alias("bytes")), "counts")
+    size = counts.agg(F.sum("c").alias("rows"), F.sum(F.col("bytes") + 64).alias("bytes")).first()
+    rows, total = size["rows"] or 0, size["bytes"] or 1
+    # at most n pairs of key and hash have over an nth of the rows
+    many = counts.where(F.col("c") > max(2, rows // n)).select(F.col("o").alias("o2"), F.col("h").alias("h2"))
+    same = F.col("o").eqNullSafe(F.col("o2")) & (F.col("h") == F.col("h2"))
+    once = slim.join(F.broadcast(many), same, "left_semi").groupBy("k", "o", "h", "t").agg(F.count(F.lit(1)).alias("c"))
+    single = slim.join(F.broadcast(many), same, "left_anti").select("k", "o", "h", "t", F.lit(1).cast("bigint").alias("c"))
+    slim = single.unionByName(once)
+    share = min(1.0, 32.0 * n / max(1, rows))
+    drawn = counts.where(F.pmod(F.xxhash64("o", "h", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30))).select("o", "h", "bytes").limit(64 * n).collect()
+    # ascending in the reverse of the order: null keys, then keys, falling hashes among equals
+    place = lambda o, h: (o is not None, plain(o), ~h)
+    plain = lambda o: bytes(o) if isinstance(o, bytearray) else o
+    cuts, step, since = [], sum(r["bytes"] + 64 for r in drawn) / n, 0
+    for r in sorted(drawn, key=lambda r: place(r["o"], r["h"])):
+        since += r["bytes"] + 64
+        if since >= step:
+            cuts.append(place(r["o"], r["h"]))
+            since = 0
+
+    @arrow_udf("int")
+    def run(o: pa.Array, h: pa.Array) -> pa.Array:
+        return pa.array([len(cuts) - bisect.bisect_left(cuts, place(x, y)) for x, y in zip(o.to_pylist(), h.to_pylist())], pa.int32())
+
+    latest = F.max(F.struct(F.col("o").isNotNull().alias("known"), "o", F.bitwise_not("h").alias("r"))).alias("m")
+    first = counts.select("o", "h", run("o", "h").alias("b")).groupBy("b").agg(latest).select("b", "m.o", F.bitwise_not("m.r").alias("h"))
+    heads = sorted((r["b"], plain(r["o"]), r["h"]) for r in first.collect()) if rows else []
+    ends = {(o, h): heads[i - 1][0] for i, (_, o, h) in enumerate(heads)}  # the first of all ends the last run
+
+    @arrow_udf("int")
+    def before(o: pa.Array, h: pa.Array) -> pa.Array:
+        return pa.array([ends.get(x, -1) for x in zip(o.to_pylist(), h.to_pylist())], pa.int32())
+
+    named = slim.withColumns({"b": run("o", "h"), "end": before("o", "h")})
+    both = F.filter(F.array(F.struct("b", F.lit(0).alias("helper")), F.struct(F.col("end").alias("b"), F.lit(1).alias("helper"))), lambda x: x["b"] >= 0)
+    runs = named.select("k", "o", "h", "t", "c", F.inline(both)).repartition("b").sortWithinPartitions("b", "helper", F.desc_nulls_last("o"), "h", "t")
+    return runs.select("b", "helper", "k", "t", "c")
 
 
 def pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each row.
 
     The edited text has the last floor(n/2) code points replaced by the first as many (or all) of the next row's text,
-    by descending key, the first after the last; a single row is next to itself. Null texts count as empty, null keys
-    come last, rows of one key go by hash and text of their texts. Equal texts have equal fingerprints; two empty
-    texts are alike (1). An empty table gives no row. Rows stream through in order: a worker holds two texts.
+    by descending key, the first after the last; a single row is next to itself. Keys are of any type that has an
+    order; those that aren't numbers count as null. Null texts count as empty, null keys come last, rows of one key go by hash and text of their texts. Equal
+    texts have equal fingerprints; two empty texts are alike (1). An empty table gives no row. Other columns may have
+    any name. Rows stream through in order: a worker holds two texts, however long.
     """
     schema = T._parse_datatype_string(f"doc_id {docs.schema[key].dataType.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     arrow = to_arrow_schema(schema)
 
+    def result(k, text_: str, sig: np.ndarray, next_: str, next_sig: np.ndarray) -> tuple:
+        half = len(text_) // 2
+        edited = text_[: len(text_) - half] + next_[:half]
+        changed = signature(edited)
+        return (k, len(text_), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), written(sig), written(changed), likeness(sig, changed), likeness(sig, next_sig))
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # run, key, text, signature of the row that waits for the next
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows), arrow)], schema=arrow)
+
         for batch in batches:
             rows = []
-            for b, helper, k, t in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if held is None or held[0] != b:
-                    if helper:
-                        held = None
-                        continue
-                    held = (b, k, t, signature(t))
+            for b, helper, k, t, c in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                same = held is not None and held[0] == b
+                if not same and helper:
+                    held = None
                     continue
                 own = signature(t)
-                _, key_, text_, sig = held
-                half = len(text_) // 2
-                edited = text_[: len(text_) - half] + t[:half]
-                changed = signature(edited)
-                rows.append((key_, len(text_), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), written(sig), written(changed), likeness(sig, changed), likeness(sig, own)))
+                if same:
+                    rows.append(result(*held[1:], t, own))
                 held = None if helper else (b, k, t, own)
+                if c > 1 and not helper:
+                    again = result(k, t, own, t, own)
+                    for left in range(c - 1, 0, -COPIES):
+                        yield out([again] * min(left, COPIES))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows), arrow)], schema=arrow)
+                yield out(rows)
 
-    return in_order(docs, key, text).select("b", "helper", "k", "t").mapInArrow(work, schema)
+    return in_order(docs, key, text).mapInArrow(work, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -670,6 +670,29 @@ def test_pairs_take_the_next_document_in_falling_order(spark, docs, none):
     assert orderhash.pairs(docs).count() == docs.count() and orderhash.pairs(none).count() == 0
 
 
+def test_pairs_of_any_key_with_copies(spark):
+    """String, date and null keys; rows of one key by hash and text; a key and a text that many rows repeat."""
+    import datetime
+
+    rng = random.Random(6)
+    names = [f"d{i}" for i in range(40)] + ["é", "", "Z" * 50]
+    for keys in (names, [datetime.datetime(2000, 1, 1) + datetime.timedelta(i) for i in range(30)], [(1 << 60) + i for i in range(30)]):
+        rows = [(k, words(rng, rng.choice([0, 4, 20]))) for k in keys] + [(keys[3], words(rng, 5)) for _ in range(60)] + [(keys[5], "the same words")] * 90 + [(None, "x y z " + str(i)) for i in range(3)] + [(None, None)] * 2
+        rng.shuffle(rows)
+        kind = {"str": "string", "int": "long"}.get(type(keys[0]).__name__, "timestamp")
+        df = spark.createDataFrame(rows, f"doc_id {kind}, text string")
+        h = {(r["t"]): r["h"] for r in df.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+        known = sorted((r for r in rows if r[0] is not None), key=lambda r: (h[r[1] or ""], r[1] or ""))
+        order = [r for k in sorted({r[0] for r in known}, reverse=True) for r in known if r[0] == k] + sorted((r for r in rows if r[0] is None), key=lambda r: (h[r[1] or ""], r[1] or ""))
+        want = []
+        for n, (k, t) in enumerate(order):
+            t, nxt = t or "", order[(n + 1) % len(order)][1] or ""
+            half = len(t) // 2
+            want.append((str(k), len(t), hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest(), orderhash.likeness(orderhash.signature(t), orderhash.signature(nxt))))
+        got = [(str(r["doc_id"]), r["n_chars"], r["edited_sha256"], r["near_next"]) for r in orderhash.pairs(df.repartition(3)).collect()]
+        assert sorted(got) == sorted(want)
+
+
 # 8
 
 
