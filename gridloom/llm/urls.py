@@ -15,7 +15,7 @@ RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 LISTED_NAMES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
 LISTED_ENDINGS = ["example.com", "example.net", "example.org"]
 
-WORD_BITS = 32
+WORD_BITS = 64
 
 
 def host_of(url: Column) -> Column:
@@ -53,20 +53,20 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[
 
 @dataclass
 class Level:
-    words: list[int]
+    """A Bloom filter: a table of one row with the array ``words``, which a plan reads as a scalar subquery."""
+
+    words: DataFrame
     bits: int
     hashes: int
     seed: int
 
     def holds(self, key: Column) -> Column:
         """True for each key put in, and for few others."""
-        if not self.bits:
-            return F.lit(False)
-        words = F.from_json(F.lit("[" + ",".join(map(str, self.words)) + "]"), "array<bigint>")  # folded into a constant
-        out = F.lit(True)
+
+        words, out = self.words.scalar(), F.lit(True)  # equal subqueries run once, and their result is one object
         for i in range(self.hashes):
             place = position(key, self.bits, self.seed, i)
-            word = F.element_at(words, (F.shiftright(place, 5) + 1).cast("int"))
+            word = F.element_at(words, (F.shiftright(place, 6) + 1).cast("int"))
             out = out & (F.call_function("shiftright", word, place.bitwiseAND(WORD_BITS - 1).cast("int")).bitwiseAND(1) == 1)
         return out
 
@@ -78,14 +78,13 @@ def position(key: Column, bits: int, seed: int, i: int) -> Column:
 def _level(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
     """A Bloom filter of the ``key`` column: positions to words by a bitwise or, aggregated on the executors."""
     hashes = max(1, round(-math.log2(rate)))
-    bits = max(64, math.ceil(n * hashes / math.log(2) / WORD_BITS) * WORD_BITS)
+    bits = max(WORD_BITS, math.ceil(n * hashes / math.log(2) / WORD_BITS) * WORD_BITS)
     place = F.explode(F.array(*[position(F.col("key"), bits, seed, i) for i in range(hashes)])).alias("p")
-    mask = F.expr("shiftleft(cast(1 as bigint), cast(p & 31 as int))")
-    found = keys.select(place).groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(mask).alias("m")).collect()
-    words = [0] * (bits // WORD_BITS)
-    for r in found:
-        words[r["w"]] = r["m"]
-    return Level(words, bits, hashes, seed)
+    mask = F.expr("shiftleft(cast(1 as bigint), cast(p & 63 as int))")
+    empty = keys.sparkSession.range(bits // WORD_BITS).select(F.col("id").alias("w"), F.lit(0).cast("bigint").alias("m"))
+    found = keys.select(place).select(F.shiftright("p", 6).alias("w"), mask.alias("m")).unionByName(empty).groupBy("w").agg(F.bit_or("m").alias("m"))
+    words = found.agg(F.sort_array(F.collect_list(F.struct("w", "m")))["m"].alias("words"))
+    return Level(cut(words, "level"), bits, hashes, seed)
 
 
 @dataclass
@@ -102,41 +101,51 @@ class Cascade:
         return out
 
 
-def cascade(universe: DataFrame, listed: DataFrame, most_listed: int = 2_000_000, first_rate: float = 0.01, later_rate: float = 0.5) -> Cascade | None:
-    """A cascade for the distinct non-null ``key`` values of both frames.
+def segment(key: Column, segments: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit("segment")), F.lit(segments))
+
+
+def cascades(universe: DataFrame, listed: DataFrame, per_cascade: int = 8_000_000, later_rate: float = 0.5) -> list[Cascade]:
+    """Cascades for the distinct non-null ``key`` values of both frames, one for each range of a hash (``segment``).
 
-    Its size depends on the listed keys that the universe has: about ten bits each at the first level, and each later
-    level halves. It goes along with the plan as literals, so their number is counted first; over ``most_listed``
-    (three MB of filter) None is returned, and callers fall back on a join. Keys listed that the universe lacks aren't needed.
+    A cascade has so many listed keys at most, about, whatever the length of the list; keys listed that the universe
+    lacks aren't needed. The first level's rate of false positives is the ratio of listed keys to others (0.7 of it), so
+    that every later level is about half as large; in all about 1.5 log2(others / listed) + 3 bits a listed key, which
+    a plan gets as constants. Which keys of the universe are listed is one aggregate over both frames.
     """
-    every = cut(universe.select("key").where("key is not null").distinct(), "universe")
-    marked = listed.select("key").where("key is not null").distinct()
-    inside = cut(every.join(marked, "key", "left_semi"), "listed")
-    n = inside.count()
-    if n > most_listed:
-        release(every, inside)
-        return None
-    outside = every.join(marked, "key", "left_anti")
-    levels: list[Level] = []
-    sides, made = [inside, outside], []
-    while n:
-        level = _level(sides[0], n, first_rate if not levels else later_rate, len(levels))
-        levels.append(level)
-        wrong = cut(sides[1].where(level.holds(F.col("key"))), "wrong")
-        made.append(wrong)
-        n = wrong.count()
-        sides = [wrong, sides[0]]
-    release(every, inside, *made)
-    return Cascade(levels)
-
-
-def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]] | None = None, url: str = "url", most_listed: int = 2_000_000) -> DataFrame:
+    both = universe.select("key", F.lit(False).alias("in")).unionByName(listed.select("key", F.lit(True).alias("in"))).where("key is not null")
+    sides = both.groupBy("key").agg(F.max("in").alias("in"), F.min("in").alias("no")).where("not no").select("key", "in")
+    every = cut(sides, "universe")
+    n = every.agg(F.count_if("in").alias("a"), F.count_if(~F.col("in")).alias("b")).first()
+    segments = max(1, math.ceil(n["a"] / per_cascade))
+    out = []
+    for part in range(segments):
+        own = every if segments == 1 else every.where(segment(F.col("key"), segments) == part)
+        inside, outside = own.where("in").select("key"), own.where(~F.col("in")).select("key")
+        size = (n["a"], n["b"]) if segments == 1 else (inside.count(), outside.count())
+        levels, sides, left, made = [], [inside, outside], size[0], []
+        while left:
+            rate = later_rate if levels else min(0.5, max(1e-9, 0.7 * size[0] / max(1, size[1])))
+            levels.append(level := _level(sides[0], left, rate, len(levels)))
+            wrong = cut(sides[1].where(level.holds(F.col("key"))), "wrong")
+            made.append(wrong)
+            left = wrong.count()
+            sides = [wrong, sides[0]]
+        release(*made)
+        out.append(Cascade(levels))
+    release(every)
+    return out
+
+
+def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]] | None = None, url: str = "url", per_cascade: int = 8_000_000) -> DataFrame:
     """``pages`` with host, path, rule and verdict.
 
     listed: one column ``key`` of sites (last three labels of a host). The verdict is the longest fitting rule's, else
     block where the cascade holds the site, else allow. Null and malformed urls have an empty host and path, fit no
-    rule, and are allowed unless the empty site is listed. Repeated rows each give a row; columns of ``pages`` stay,
-    and new names that are taken get underscores. The pages aren't shuffled; only distinct sites are.
+    rule, and are allowed unless the empty site is listed. Urls count whole, however long, in time in proportion.
+    Repeated rows each give a row, an empty table none; columns of ``pages`` stay, and new names that are taken get
+    underscores. The pages are neither joined nor shuffled; only distinct sites are. Where the list takes several
+    cascades, the pages of each are judged and written in turn.
     """
     names = {}
     out = pages
@@ -147,16 +156,19 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]] | No
     host, path = quoted(names["host"]), quoted(names["path"])
     key = site_of(host)
     rule, verdict = rule_for(host, path, RULES if rules is None else rules)
-    filters = cascade(out.select(key.alias("key")), listed, most_listed)
-    if filters is not None:
-        blocked = filters.holds(key)
-    else:
-        mark = free_name(out, "site")
-        marked = listed.select(F.col("key").alias(mark)).where("key is not null").distinct().withColumn(mark + "_", F.lit(True))
-        out = out.join(marked, key == quoted(mark), "left").drop(mark)
-        blocked = F.coalesce(quoted(mark + "_"), F.lit(False))
-    out = out.withColumn(names["rule"], rule).withColumn(names["verdict"], F.coalesce(verdict, F.when(blocked, "block").otherwise("allow")))
-    return out.select(*[quoted(c) for c in pages.columns], *[quoted(n) for n in names.values()])
+    found = cascades(out.select(key.alias("key")), listed, per_cascade)
+
+    def judged(rows: DataFrame, c: Cascade) -> DataFrame:
+        rows = rows.withColumn(names["rule"], rule).withColumn(names["verdict"], F.coalesce(verdict, F.when(c.holds(key), "block").otherwise("allow")))
+        return rows.select(*[quoted(c) for c in pages.columns], *[quoted(n) for n in names.values()])
+
+    if len(found) == 1:
+        return judged(out, found[0])
+    whole = None
+    for part, c in enumerate(found):
+        one = cut(judged(out.where(segment(key, len(found)) == part), c), "judged")
+        whole = one if whole is None else whole.unionByName(one)
+    return whole
 
 
 def production_list(spark: SparkSession) -> DataFrame:

@@ -716,21 +716,25 @@ def test_urls_against_plain_rules(spark):
     rows = [(i, "".join(rng.choice(b) for b in bits)) for i in range(400)] + [(400, None), (401, ""), (402, "://"), (402, "://"), (None, "http://a.org/\nx")]
     df = spark.createDataFrame([(*r, "h", "mine") for r in rows], "page_id long, url string, html string, host string")
     listed = {f"{n}.{e}" for n in urls.LISTED_NAMES for e in urls.LISTED_ENDINGS}
-    for most in (10**6, 0):  # the cascade, and the join beyond its bound
-        out = urls.judge(df, urls.production_list(spark), most_listed=most)
+    rows += [(403, "http://" + "a." * 100_000 + "spam-farm.example.com/" + "x" * 100_000), (404, "://" * 60_000)]
+    df = spark.createDataFrame([(*r, "h", "mine") for r in rows], "page_id long, url string, html string, host string")
+    for most in (10**6, 2):  # one cascade, and several
+        out = urls.judge(df, urls.production_list(spark), per_cascade=most)
         assert out.columns == ["page_id", "url", "html", "host", "_host", "path", "rule", "verdict"] and out.count() == len(rows)
         for r in out.collect():
             assert (r["_host"], r["path"], r["rule"], r["verdict"]) == slow_verdict(r["url"], urls.RULES, listed), r["url"]
     assert urls.judge(df.limit(0), urls.production_list(spark)).count() == 0
 
 
-def test_cascade_is_exact_over_its_universe(spark):
+def test_cascades_are_exact_over_their_universe(spark):
     universe = spark.range(20_000).select(F.concat(F.lit("site"), "id").alias("key"))
     listed = universe.where("key like '%7'").unionByName(spark.createDataFrame([("elsewhere",), (None,)], "key string"))
-    c = urls.cascade(universe, listed)
-    assert len(c.levels) > 2
+    (c,) = urls.cascades(universe, listed)
+    assert len(c.levels) > 2 and sum(x.bits for x in c.levels) < 10 * 2_000
     assert universe.where(c.holds(F.col("key")) != F.col("key").endswith("7")).count() == 0
-    assert urls.cascade(universe, listed.limit(0)).levels == []
+    parts = urls.cascades(universe, listed, per_cascade=700)
+    assert len(parts) == 3 and sum(universe.where((urls.segment(F.col("key"), 3) == i) & (p.holds(F.col("key")) != F.col("key").endswith("7"))).count() for i, p in enumerate(parts)) == 0
+    assert [c.levels for c in urls.cascades(universe, listed.limit(0))] == [[]]
 
 
 # 9
