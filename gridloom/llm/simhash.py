@@ -18,7 +18,7 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.float64)
 _OFFSETS = (np.arange(8) * 256)[None, :]
 #: Fingerprints are laid out in tiles of at least this many and at most so many rows; see ``links``.
-LEAST_TILE, MOST_TILE = 16_384, 1_048_576
+LEAST_TILE, MOST_TILE = 16_384, 131_072
 #: Keys that ``deduplicate`` broadcasts at most.
 MOST_BROADCAST = 500_000
 #: 64-bit lanes of the fingerprints by which ``proposals`` finds pairs. Two sets of shingles with 0.8 in common differ in
@@ -158,8 +158,8 @@ def links(fps: DataFrame, radius: int, lanes: int = 1, wide_radius: int | None =
     halves of the first lane for a small radius, of the whole lane for a large one. Two within the radius lie in cells
     whose counts differ by the radius at most, so pairs of other cells are skipped; all pairs of the rest are compared.
     A cell is cut into tiles, and what comes to it from its neighbours into blocks of four tiles, by hash; each tile
-    meets each block once. Tiles grow with the number of rows from LEAST_TILE to MOST_TILE, so up to 10^8 rows each
-    row is sent about as often at every size. The table of cells has at most 33 x 33 rows at any size of the input:
+    meets each block once. Tiles grow with the number of rows from LEAST_TILE to MOST_TILE, so up to 10^7 rows each
+    row is sent about as often at every size; beyond, tasks stay as they are and grow in number. The table of cells has at most 33 x 33 rows at any size of the input:
     that alone comes to the driver, and what is broadcast has at most that many rows times the cells in reach.
     """
     first = F.conv(F.substring(F.hex("fp"), 1, 16), 16, -10).cast("long")
@@ -193,8 +193,9 @@ def classes(docs: DataFrame, width: int = 4, radius: int = 4, lanes: int = 1, wi
     Rows whose fingerprints differ in at most ``radius`` bits (with more lanes: and in at most ``wide_radius`` bits of
     all lanes) are linked, and component_id is the smallest key reachable. Null and wordless texts have the zero
     fingerprint, linked like any other. Rows with equal keys each give a row; null keys give rows, but are no
-    component_id unless all of a component are null. An empty table gives no row. Equal fingerprints are one row from
-    the first aggregate on, so copies cost nothing more; no text is shuffled.
+    component_id unless all of a component are null. An empty table gives no row. Texts are read whole, however long;
+    columns other than key and text may have any name. Equal fingerprints are one row from the first aggregate on, so
+    copies cost nothing more; no text is shuffled.
     """
     each = cut(fingerprints(docs, width, lanes, key, text, distinct), "fingerprints")
     distinct = cut(each.groupBy("fp").agg(F.min("k").alias("least")), "distinct")
@@ -334,10 +335,11 @@ def alike(docs: DataFrame, width: int = 5, key: str = "doc_id", text: str = "tex
     each = cut(outlines(docs, width, key, text), "outlines")
     distinct = cut(each.groupBy("sid").agg(F.min("k").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp")), "sets")
     clusters = cut(proposals(distinct.select("sid", "n", "fp")), "clusters")
-    wanted = distinct.join(clusters.select("sid").distinct(), "sid", "left_semi").select(F.col("least").alias("_k")).distinct()
+    mine = free_name(docs, "_k")
+    wanted = distinct.join(clusters.select("sid").distinct(), "sid", "left_semi").select(F.col("least").alias(mine)).distinct()
     if wanted.count() <= MOST_BROADCAST:
         wanted = F.broadcast(wanted)
-    read = docs.join(wanted, quoted(key).eqNullSafe(F.col("_k")), "left_semi").select(as_text(quoted(text)).alias("t"))
+    read = docs.join(wanted, quoted(key).eqNullSafe(quoted(mine)), "left_semi").select(as_text(quoted(text)).alias("t"))
 
     def shingles():
         def step(columns):
@@ -380,12 +382,13 @@ def deduplicate(docs: DataFrame, width: int = 5, key: str = "doc_id", text: str
     """
     from pyspark.sql.pandas.functions import pandas_udf
 
-    found = cut(alike(docs, width, key, text).where(quoted(key).isNotNull()).select(quoted(key).alias("_k"), "sid", "root", (quoted(key) == F.col("component_id")).alias("stands")), "alike")
-    keys = cut(found.groupBy("_k").agg(F.count(F.lit(1)).alias("n"), F.max("stands").alias("stays")), "keys")
-    gone, again = keys.where(~F.col("stays")).select("_k"), keys.where(F.col("stays") & (F.col("n") > 1)).select("_k")
+    k, k2, sid, sid2, root, rank = (free_name(docs, x) for x in ("_k", "_k2", "_sid", "_sid2", "_root", "_rank"))
+    found = cut(alike(docs, width, key, text).where(quoted(key).isNotNull()).select(quoted(key).alias(k), "sid", "root", (quoted(key) == F.col("component_id")).alias("stands")), "alike")
+    keys = cut(found.groupBy(k).agg(F.count(F.lit(1)).alias("n"), F.max("stands").alias("stays")), "keys")
+    gone, again = keys.where(~F.col("stays")).select(k), keys.where(F.col("stays") & (F.col("n") > 1)).select(k)
     if gone.count() <= MOST_BROADCAST:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, quoted(key) == F.col("_k"), "left_anti")
+    kept = docs.join(gone, quoted(key) == quoted(k), "left_anti")
     if again.isEmpty():
         return kept
 
@@ -393,13 +396,12 @@ def deduplicate(docs: DataFrame, width: int = 5, key: str = "doc_id", text: str
     def sid_of(column):
         return column.map(lambda t: _sid(np.unique(shingle_hashes(t, width))))
 
-    k, sid, root, rank = (free_name(docs, x) for x in ("_k2", "_sid", "_root", "_rank"))
-    standing = found.where("stands").select(F.col("_k").alias(k), F.col("sid").alias(sid + "2"), F.col("root").alias(root)).distinct()
-    once = kept.join(again, quoted(key) == F.col("_k"), "left_semi").withColumn(sid, sid_of(as_text(quoted(text))))
-    once = once.join(standing, (quoted(key) == quoted(k)) & (quoted(sid) == quoted(sid + "2")))
-    order = Window.partitionBy(k, root).orderBy(F.xxhash64(quoted(text)), *[quoted(c) for c, t in docs.dtypes if not t.startswith("map")])
+    standing = found.where("stands").select(quoted(k).alias(k2), F.col("sid").alias(sid2), F.col("root").alias(root)).distinct()
+    once = kept.join(again, quoted(key) == quoted(k), "left_semi").withColumn(sid, sid_of(as_text(quoted(text))))
+    once = once.join(standing, (quoted(key) == quoted(k2)) & (quoted(sid) == quoted(sid2)))
+    order = Window.partitionBy(k2, root).orderBy(F.xxhash64(quoted(text)), *[quoted(c) for c, t in docs.dtypes if not t.startswith("map")])
     first = once.withColumn(rank, F.row_number().over(order)).where(quoted(rank) == 1).select(*[quoted(c) for c in docs.columns])
-    return kept.join(again, quoted(key) == F.col("_k"), "left_anti").unionByName(first)
+    return kept.join(again, quoted(key) == quoted(k), "left_anti").unionByName(first)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
