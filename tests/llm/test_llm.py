@@ -920,26 +920,78 @@ def test_base_spans(spark, docs, none):
 # All
 
 
-def test_pipeline(spark, sf):
+def slow_leaks(text, items):
+    """Whether an item lies in the text with a tenth of its bytes edited at most: the whole table of distances, for the
+    items that share eight bytes in a row with the text (fewer edits than a ninth of the bytes leave such a run)."""
+    b = decontaminate.normal(text or "")
+    whole = b.tobytes()
+    for a in items:
+        raw = a.tobytes()
+        if len(a) < 40:
+            if f" {raw} " in f" {whole} ":
+                return True
+            continue
+        if not any(raw[i : i + 8] in whole for i in range(len(raw) - 7)):
+            continue
+        at = np.arange(len(b) + 1)
+        row = np.zeros(len(b) + 1, np.int64)
+        for i, c in enumerate(a, 1):
+            new = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (b != c))])
+            row = np.minimum.accumulate(new - at) + at
+        if row.min() <= len(a) // 10:
+            return True
+    return False
+
+
+def test_pipeline_against_brute_force(spark, sf):
+    """Every stage's rows by all pairs of sets, whole tables of distances, a plain search of entities and tiktoken."""
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert [len(x) for x in corpus_pipeline.STAGES] == [2] * 5
-    got = corpus_pipeline.run(spark, sf)
-    rows = {r["doc_id"]: r for r in got.collect()}
-    toxic = {r["doc_id"] for r in toxicity.scores(docs, spark.read.parquet(f"{sf}/labels.parquet")).where("predicted = 1").collect()}
-    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
-    leaks = {r["doc_id"] for r in decontaminate.matches(docs, bench).where("n_items > 0").collect()}
-    assert 100 < len(rows) < docs.count() and not set(rows) & toxic and not set(rows) & leaks
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    c = bpe.Codec.of(**bpe.production())
-    for i, r in rows.items():
-        assert hashlib.sha256(c.decode(list(r["ids"]))).hexdigest() == r["decoded_sha256"]
-    plain = [i for i in rows if not re.search(r"@|\d{3}", texts[i])]
-    assert len(plain) > 50 and all(rows[i]["decoded_sha256"] == hashlib.sha256(texts[i].encode()).hexdigest() for i in plain)
-    missing = set(texts) - set(rows) - toxic - leaks
-    classes = {r["doc_id"]: r["component_id"] for r in simhash.classes(docs.where(~F.col("doc_id").isin(list(toxic))), 5, 16, 12, 126, distinct=True).collect()}
-    assert all(classes[i] != i for i in missing)
+    scored = {r["doc_id"]: r["score"] for r in toxicity.scores(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()}
+    left = sorted(i for i in texts if scored[i] < 0.7)
+    roots = slow_alike([texts[i] for i in left])
+    first = {}
+    for i, r in zip(left, roots):
+        first.setdefault(r, i)
+    kept = sorted(first.values())
+    items = [decontaminate.normal(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    kept = [i for i in kept if not slow_leaks(texts[i], items)]
+    rows, stages = docs, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, rows, sf)
+        stages.append(sorted(r["doc_id"] for r in rows.select("doc_id").collect()))
+        assert rows.columns == docs.columns
+    assert stages[0] == left and stages[1] == sorted(first.values()) and stages[2] == stages[3] == kept and 100 < len(kept) < len(left) < len(texts)
+    new = {r["doc_id"]: r for r in rows.collect()}
+    found = 0
+    for i in kept:
+        at, pattern = 0, ""
+        for a, b, *_ in slow_entities(texts[i]):
+            pattern, at, found = pattern + re.escape(texts[i][at:a]) + "(?!" + re.escape(texts[i][a:b]) + ").+?", b, found + 1
+        assert re.fullmatch(pattern + re.escape((texts[i] or "")[at:]), new[i]["text"] or "", re.S), i
+        assert new[i]["n_chars"] == len(new[i]["text"])
+    assert found > 5
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, sf).collect()}
+    settings = bpe.production()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(settings["rank_file"], "rb"))}
+    enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert sorted(got) == kept
+    for i, r in got.items():
+        assert list(r["ids"]) == enc.encode_ordinary(new[i]["text"]) and r["n_tokens"] == len(r["ids"])
+        assert r["decoded_sha256"] == hashlib.sha256(new[i]["text"].encode()).hexdigest()
+
+
+def test_pipeline_stages_take_columns_of_any_name(spark, sf):
+    import corpus_pipeline
+
+    clash = ("_k", "_sid", "_pieces", "_row", "sur", "score", "t", "k", "n", "sid", "root", "fp", "value", "at")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40).withColumns({c: F.lit(1) for c in clash})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and 0 < out.count() <= 40
 
 
 def test_pipeline_on_odd_rows(spark, tmp_path, docs):
