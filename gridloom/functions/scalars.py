@@ -131,12 +131,18 @@ def distinct_text(value: Column) -> Column:
     return F.array_join(F.sort_array(F.collect_set(F.when(F.length(value) > 0, value))), " | ")
 
 
-#: Words in messages by which a failure is hard (out of resources or time), and some known soft ones.
-HARD = r"cannot allocate|out of memory|outofmemory|memory exhausted|vector memory|heap space|gc overhead|time ?limit|timed? ?out|elapsed time|too large|integer overflow"
-SOFT = r"subscript out of bounds|non-numeric|not found|invalid|missing"
-
-
-def failure_class(error: Column, warning: Column, hard: str = HARD, soft: str = SOFT) -> Column:
+# Words in messages by which a failure is hard (out of resources or time), and known soft ones.
+HARD = [
+    "cannot allocate", "memory exhausted", "out of memory", "vector memory exhausted", "negative length vectors", "long vectors not supported", "integer overflow", "timeout",
+    "reached elapsed time limit", "allocation failure", "std::bad_alloc",
+]
+SOFT = ["subscript out of bounds", "dimnames", "names do not match", "invalid.*argument", "missing value where true/false needed"]
+#: What Spark and the JVM say instead.
+HARD_HERE = ["outofmemory", "java heap space", "gc overhead", "time ?limit", "timed out", "executor lost", "no space left"]
+SOFT_HERE = ["not found", "missing"]
+
+
+def failure_class(error: Column, warning: Column, hard: str = "|".join(HARD + HARD_HERE), soft: str = "|".join(SOFT + SOFT_HERE)) -> Column:
     """hard or soft (the default) for a failed run; null where there is neither error nor warning."""
     text = F.lower(F.concat_ws(" ", error, warning))
     return F.when(F.length(text) == 0, None).when(text.rlike(hard), "hard").when(text.rlike(soft), "soft").otherwise("soft")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,24 +11,66 @@ from gridloom.functions.scalars import proportions, share_label, shuffled
 from gridloom.graph import search
 from gridloom.graph.components import components
 from gridloom.operators import weights
+from gridloom.runtime import cut
 from gridloom.sources.cells import Grid
 
 
-def labelled(support: DataFrame, grid: Grid, contiguity: str = "queen") -> DataFrame:
-    """(component, cell, row, col): components numbered from 1 by their smallest cell; isolated cells are components."""
-    edge = weights.edges(support, grid, contiguity)
-    found = components(edge, "i", "j")
-    root = support.join(found, support["cell"] == found["node"], "left").select("cell", "row", "col", F.coalesce("component", "cell").alias("root"))
-    # the roots are numbered in ranges of the cell, so no window spans them all
+#: Rows and columns of the tiles whose components are found in one task each.
+TILE = 128
+
+
+def local_labels(support: DataFrame, grid: Grid, contiguity: str = "queen", tile: int = TILE) -> DataFrame:
+    """(cell, row, col, tr, tc, local): components within tiles, by their smallest cell. A tile is one task's work."""
+    moves = [m for m in weights.steps(contiguity) if m > (0, 0)]
+
+    def label(group: pa.Table) -> pa.Table:
+        group = group.sort_by("cell")
+        cell, row, col = (group.column(c).to_numpy() for c in ("cell", "row", "col"))
+        n = len(cell)
+        place = np.full((tile + 2, tile + 2), -1)
+        r, c = row - row.min() // tile * tile + 1 if n else row, col - col.min() // tile * tile + 1 if n else col
+        place[r, c] = np.arange(n)
+        a, b = [], []
+        for dr, dc in moves:
+            other = place[r + dr, c + dc]
+            a.append(np.flatnonzero(other >= 0))
+            b.append(other[other >= 0])
+        a, b, root = np.concatenate(a), np.concatenate(b), np.arange(n)
+        while True:  # roots hook onto smaller ones, then everything points to its root
+            x, y = root[a], root[b]
+            if (x == y).all():
+                break
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root != root[root]).any():
+                root = root[root]
+        return group.append_column("local", pa.array(cell[root], pa.int64()))
+
+    cells = support.select(F.col("cell").cast("bigint").alias("cell"), F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"))
+    tiles = cells.withColumns({"tr": F.floor(F.col("row") / tile), "tc": F.floor(F.col("col") / tile)})
+    return tiles.groupBy("tr", "tc").applyInArrow(label, "cell long, row long, col long, tr long, tc long, local long")
+
+
+def labelled(support: DataFrame, grid: Grid, contiguity: str = "queen", tile: int = TILE) -> DataFrame:
+    """(component, cell, row, col): components numbered from 1 by their smallest cell; isolated cells are components.
+
+    Components are found within tiles first; only those that touch over tile borders are then joined to components of
+    components, and only labels, never cells, meet by the component they belong to, however large it is.
+    """
+    local = cut(local_labels(support, grid, contiguity, tile), "local")
+    at = lambda c: F.col(c) % tile
+    border = local.where(at("row").isin(0, tile - 1) | at("col").isin(0, tile - 1))
+    end = lambda e: border.select(F.col("cell").alias(e), *[F.col(c).alias(c + e) for c in ("tr", "tc", "local")])
+    over = weights.edges(border, grid, contiguity).join(end("i"), "i").join(end("j"), "j").where("tri <> trj OR tci <> tcj")
+    found = components(over.select("locali", "localj").distinct(), "locali", "localj")
+    labels = local.select("local").distinct()
+    root = cut(labels.join(found, labels["local"] == found["node"], "left").select("local", F.coalesce("component", "local").alias("root")), "roots")
     numbers = numbered(root.select("root").distinct(), "root", "component")
-    return root.join(numbers, "root").select("component", "cell", "row", "col")
+    return local.join(root.join(numbers, "root").select("local", "component"), "local").select("component", "cell", "row", "col")
 
 
 def numbered(df: DataFrame, by: str, into: str) -> DataFrame:
     """Consecutive numbers from 1 in the order of a distinct column: within ranges of it, plus what ranges before hold."""
     parts = max(1, min(512, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    from gridloom.runtime import cut
-
     ranged = cut(df.repartitionByRange(parts, by).withColumn("_part", F.spark_partition_id()), "ranges")
     counts = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
     before, total = {}, 0
@@ -76,8 +120,6 @@ def seeds(parts: DataFrame) -> DataFrame:
 def spatial_supports(support: DataFrame, grid: Grid, shares: list[float], contiguity: str = "queen", bound: int = 250_000) -> DataFrame:
     """(scenario, cell): of each component the cells first reached from its middle, as many as it is allocated."""
     shares = proportions(shares)
-    from gridloom.runtime import cut
-
     parts = cut(labelled(support, grid, contiguity), "labelled")
     sizes = cut(parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "sizes")
     ranked = weights.edges(support, grid, contiguity, ranked=True).join(parts.select("component", F.col("cell").alias("i")), "i").select("component", "i", "o", "j")

@@ -93,17 +93,30 @@ def retained(support: DataFrame, edge: DataFrame, keys: list[str] | None = None)
     return support.join(edge.select(*keys, F.col("i").alias("cell")), [*keys, "cell"], "left_semi")
 
 
-def row_standardised(edge: DataFrame, keys: list[str] | None = None, tolerance: float = 0.0) -> DataFrame:
-    """Weights that sum to 1 in each row. Explicit zeros go; isolated cells have no edge, so they and their columns go
-    by themselves. At most as many edges as there are steps share a row, so the window is small."""
+def row_standardised(edge: DataFrame, keys: list[str] | None = None, tolerance: float = 0.0, symmetric: bool = False) -> DataFrame:
+    """Weights that sum to 1 in each row. Explicit zeros go; rows without a positive sum go with their columns, as do
+    isolated cells. symmetric: the weights are contiguity's, where such rows have no edge, so that no column needs to
+    be looked for. At most as many edges as there are steps share a row, so the window is small."""
     keys = keys or []
-    return edge.where(F.abs("w") > tolerance).withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy(*keys, "i")))
+    left = edge.where(F.abs("w") > tolerance)
+    share = F.col("w") / F.sum("w").over(Window.partitionBy(*keys, "i"))
+    if symmetric:
+        return left.withColumn("w", share)
+    rows = left.groupBy(*keys, F.col("i").alias("j")).agg(F.sum("w").alias("s")).where("s > 0").select(*keys, "j")
+    left = left.join(rows, [*keys, "j"], "left_semi").join(rows.withColumnRenamed("j", "i"), [*keys, "i"], "left_semi")
+    return left.select(*edge.columns).withColumn("w", share)
 
 
-def standardised_or_error(edge: DataFrame) -> DataFrame:
+def standardised_or_error(edge: DataFrame, symmetric: bool = True) -> DataFrame:
+    """The same, where no edge at all, or a kept row whose columns all went, is an error."""
     if edge.isEmpty():
         raise ValueError("no cell has a neighbour")
-    return row_standardised(edge)
+    out = row_standardised(edge, symmetric=symmetric)
+    if not symmetric:
+        rows = edge.groupBy("i").agg(F.sum("w").alias("s")).where("s > 0")
+        if not rows.join(out, "i", "left_anti").isEmpty() or not out.groupBy("i").agg(F.sum("w").alias("s")).where("s IS NULL OR isnan(s) OR s <= 0").isEmpty():
+            raise ValueError("rows without a positive sum remain")
+    return out
 
 
 def neighbour_lists(edge: DataFrame, keys: list[str] | None = None) -> DataFrame:

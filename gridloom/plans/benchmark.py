@@ -59,7 +59,7 @@ def failed(method: str, stage: str, error: str, warnings: list[str], cells: int)
     text = f"{error} {' '.join(warnings)}".lower()
     import re
 
-    kind = "hard" if re.search(scalars.HARD, text) else "soft"
+    kind = "hard" if re.search("|".join(scalars.HARD + scalars.HARD_HERE), text) else "soft"
     return {"method": method, "status": "failed", "failure_stage": stage, "failure_class": kind, "error": error, "warning_message": " | ".join(warnings), "cells_input": cells}
 
 
@@ -80,7 +80,7 @@ def run_route(method: str, support: DataFrame, grid: Grid, contiguity: str = "qu
     if not raw.ok:
         return failed(method, "build", raw.error, raw.warnings, n), {}
     nnz = raw.value.count()
-    final = timed(spark, lambda: cut(weights.row_standardised(raw.value), "final"), timeout)
+    final = timed(spark, lambda: cut(weights.row_standardised(raw.value, symmetric=True), "final"), timeout)
     if not final.ok:
         return failed(method, "prune", final.error, final.warnings, n), {}
     left = final.value.select("i").distinct().count()

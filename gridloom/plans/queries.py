@@ -68,7 +68,7 @@ def _weights(spark: SparkSession, d: str, contiguity: str = "queen"):
 
 def _sample(spark: SparkSession, d: str):
     base, grid, edge = _weights(spark, d)
-    w = cut(weights.row_standardised(edge), "weights")
+    w = cut(weights.row_standardised(edge, symmetric=True), "weights")
     return cut(support.design(weights.retained(base, edge)), "design"), w, grid
 
 
@@ -202,7 +202,7 @@ def nnz_summary(spark, d):
 @query("weights_row_standardised", f"WITH {GRID}, {pairs_sql()}, {DEGREE} SELECT i, j, round(w, 8) AS w FROM w")
 def weights_row_standardised(spark, d):
     base, grid = _support(spark, d)
-    return weights.row_standardised(weights.edges(base, grid)).select("i", "j", F.round("w", 8).alias("w"))
+    return weights.row_standardised(weights.edges(base, grid), symmetric=True).select("i", "j", F.round("w", 8).alias("w"))
 
 
 @query("neighbour_lists", f"WITH {GRID}, {pairs_sql('rook')} SELECT i, string_agg(CAST(j AS VARCHAR), ',' ORDER BY j) AS neighbours FROM pairs GROUP BY i")
@@ -216,7 +216,7 @@ def neighbour_lists(spark, d):
 def spatial_lag(spark, d):
     base, grid = _support(spark, d)
     base = cut(base, "support")
-    w = weights.row_standardised(weights.edges(base, grid))
+    w = weights.row_standardised(weights.edges(base, grid), symmetric=True)
     values = base.select(F.col("cell").alias("j"), F.log1p("gdp").alias("y"))
     return w.join(values, "j").groupBy(F.col("i").alias("cell")).agg(F.count(F.lit(1)).alias("degree"), F.round(F.sum(F.col("w") * F.col("y")), 6).alias("lag_gdp"))
 
@@ -246,7 +246,7 @@ def support_summary(spark, d):
 def neumann_solve(spark, d):
     base, grid, edge = _weights(spark, d)
     values = weights.retained(base, edge).select("cell", F.log1p("gdp").alias("b"))
-    return weights.solve(weights.row_standardised(edge), values, 0.4, "b", 4).select("cell", F.round("x", 6).alias("x"))
+    return weights.solve(weights.row_standardised(edge, symmetric=True), values, 0.4, "b", 4).select("cell", F.round("x", 6).alias("x"))
 
 
 # Autocorrelation
@@ -334,7 +334,7 @@ UNION ALL SELECT 3, sum(a.w * b.w * c.w) FROM w a JOIN w b ON a.j = b.i JOIN w c
 @query("trace_exact_low_order", f"{TRACES} SELECT k, round(tr, 4) AS tr FROM tr")
 def trace_exact_low_order(spark, d):
     base, grid, edge = _weights(spark, d)
-    return traces.exact_traces(weights.row_standardised(edge)).select("k", F.round("tr", 4).alias("tr"))
+    return traces.exact_traces(weights.row_standardised(edge, symmetric=True)).select("k", F.round("tr", 4).alias("tr"))
 
 
 def _signs_sql(b: int, seed: int) -> str:
@@ -352,7 +352,7 @@ h3_{b} AS (SELECT cell, (h * 48271 + cell) % {p} AS h FROM h2_{b}), v_{b} AS (SE
 )
 def trace_mc_hashed(spark, d):
     base, grid, edge = _weights(spark, d)
-    tr = traces.traces(weights.row_standardised(edge), weights.retained(base, edge), 4, 2, 42)
+    tr = traces.traces(weights.row_standardised(edge, symmetric=True), weights.retained(base, edge), 4, 2, 42)
     return spark.createDataFrame(list(enumerate(tr, 1)), "k long, tr double").select("k", F.round("tr", 4).alias("tr"))
 
 
@@ -365,7 +365,7 @@ RHOS = [-0.8, -0.4, 0.0, 0.3, 0.6, 0.9]
 )
 def logdet_series(spark, d):
     base, grid, edge = _weights(spark, d)
-    tr = [r["tr"] for r in traces.exact_traces(weights.row_standardised(edge)).orderBy("k").collect()]
+    tr = [r["tr"] for r in traces.exact_traces(weights.row_standardised(edge, symmetric=True)).orderBy("k").collect()]
     return spark.createDataFrame([(r, round(traces.logdet(r, tr), 4) + 0.0, round(traces.logdet_slope(r, tr), 4)) for r in RHOS], "rho double, logdet double, slope double")
 
 

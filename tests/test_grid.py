@@ -351,7 +351,8 @@ def test_benchmark_routes_agree(spark, sf, tmp_path):
 def test_suite_and_sinks(spark, sf, tmp_path):
     cells, g = src.fixture_grid(spark, sf)
     suite = regression.run_suite({"fixture": (cells, g)}, str(tmp_path), kmax=6, probes=4, k=2, m=40, hc="both", block_draws=True)
-    assert suite["model_fit_summary"].count() == 2 and suite["support_summary"].columns[0] == "region" and suite["timing_note"].count() == 6
+    assert suite["model_fit_summary"].count() == 2 and suite["support_summary"].columns[0] == "region" and suite["timing_note"].count() == 7
+    assert all(r["elapsed_impacts_sec"] > 0 and r["elapsed_total_modeling_sec"] == r["elapsed_estimation_sec"] + r["elapsed_impacts_sec"] for r in suite["model_fit_summary"].collect())
     assert {p.name for p in (tmp_path / "fixture").iterdir()} >= {"sar_coefficients", "sdm_coefficients_full_hc1", "sbs_draws_sar", "meta"}
     assert "se_sbs" in spark.read.parquet(str(tmp_path / "fixture" / "sar_coefficients")).columns
     assert regression.run_autocorrelation(cells, g, str(tmp_path / "auto"), key="band", save_edges=True).count() == 4
