@@ -10,17 +10,19 @@ from gridloom.runtime import cut, release, table
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.7 or more go. Labels are learned from the rows of ``docs`` that aren't held out."""
+    """Documents that score 0.7 or more go. Labels are learned from the rows of ``docs`` that aren't held out; null and
+    empty texts score as a text without a word."""
     return toxicity.reject(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of texts alike in 0.8 of their five-word shingles stays, that of the least doc_id."""
+    """One document of each class of texts alike in 0.8 of their five-word shingles stays, that of the least doc_id; rows
+    without a doc_id stay."""
     return simhash.deduplicate(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, with at most a tenth of it edited, go."""
+    """Documents that hold a benchmark item, with at most a tenth of it edited, go; null texts hold none."""
     return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -47,7 +49,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage. Each stage's rows are written to the shared folder and read again by the next."""
+    """The rows of the last stage. Each stage's rows are written to the shared folder and read again by the next.
+
+    Null and empty texts are clean, one kind of text (none at all) to near duplicates, hold no leak and no entity, and
+    have no token. Rows with a null doc_id stay unless toxic or leaking; of rows that repeat, one of each class stays.
+    Texts are read whole, however long. Extra columns pass every stage but the last, whatever their names. An empty
+    table gives no row; without labels no document is rejected, without a benchmark none leaks.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         kept = cut(stage(spark, docs, sf_dir), name)

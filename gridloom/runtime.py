@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as ``spark.checkpoint.dir`` names it.
 
-    Only where the session leaves it unset (local tests) is a folder of our own used and set.
+    Only where the session leaves it unset and is local (as in tests) is a folder of our own used and set; on a cluster
+    that is an error, as executors can't see each other's disks.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             folder = known.get()
+        elif not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             folder = f"file://{os.path.join(tempfile.gettempdir(), 'gridloom-checkpoints')}"
             spark.sparkContext.setCheckpointDir(folder)
