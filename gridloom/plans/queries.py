@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import scalars
 from gridloom.graph import scenarios, search
 from gridloom.operators import autocorr, blocks, models, support, traces, weights
-from gridloom.plans import benchmark, regression
+from gridloom.plans import benchmark, fit_sql, regression
 from gridloom.runtime import cut
 from gridloom.sources import cells as src
 from gridloom.sources.cells import LAYERS
@@ -387,36 +387,61 @@ def hc_meat(spark, d):
     return scalars.rounded(spark.createDataFrame([(a, b, float(got[i, j])) for i, a in enumerate(names) for j, b in enumerate(names) if i <= j], "a string, b string, mean_product double"))
 
 
+KMAX, PROBES = 20, 10
+XL = [*X, "W_pop", "W_ndvi", "W_mndwi"]
+FITTED = f"WITH {GRID}, {pairs_sql()}, {DEGREE}, {KEPT}, {SAMPLE}, {fit_sql.trace_ctes(KMAX, PROBES, 42)}, "
+
+
 def _fitted(spark, d, **settings):
     g, grid = src.fixture_grid(spark, d)
-    return regression.run_region(g, grid, "fixture", kmax=20, probes=10, exact_low_order=True, **settings)
+    return regression.run_region(g, grid, "fixture", kmax=KMAX, probes=PROBES, exact_low_order=True, **settings)
+
+
+def _shown(df, names):
+    return df.select(*[(F.round(c, fit_sql.SIGNIFICANT) + 0.0).alias(n) if t == "double" else F.col(c).alias(n) for c, n in names.items() for t in [dict(df.dtypes)[c]]])
 
 
-@query("sar_fit")
+COEFFICIENTS = {c: c for c in ("term", "estimate", "se_mle", "se_hc1")}
+
+
+@query("sar_fit", FITTED + fit_sql.fit_ctes(X) + fit_sql.coefficients(X))
 def sar_fit(spark, d):
     r = _fitted(spark, d)
     regression.inference(r, "conditional", run_blocks=False)
-    return models.coefficients(r.fits["sar"], spark)
+    return _shown(models.coefficients(r.fits["sar"], spark), COEFFICIENTS)
 
 
-@query("sdm_fit")
+@query("sdm_fit", FITTED + fit_sql.fit_ctes(XL) + fit_sql.coefficients(XL))
 def sdm_fit(spark, d):
     r = _fitted(spark, d)
     regression.inference(r, "conditional", run_blocks=False)
-    return models.coefficients(r.fits["sdm"], spark)
+    return _shown(models.coefficients(r.fits["sdm"], spark), COEFFICIENTS)
+
 
+FULL = {"term": "term", "estimate": "estimate", "se_hc1": "se_full"}
 
-@query("full_hc1")
+
+@query("full_hc1", FITTED + fit_sql.fit_ctes(XL) + fit_sql.full_errors(XL))
 def full_hc1(spark, d):
     r = _fitted(spark, d)
     regression.inference(r, "full", run_blocks=False)
-    return models.coefficients(r.fits["sdm"], spark, "full_HC1")
+    return _shown(models.coefficients(r.fits["sdm"], spark, "full_HC1"), FULL)
 
 
-@query("impacts")
-def impacts(spark, d):
+@query("full_hc1_sar", FITTED + fit_sql.fit_ctes(X) + fit_sql.full_errors(X))
+def full_hc1_sar(spark, d):
     r = _fitted(spark, d)
-    return scalars.fill_union([models.impact_table(f, spark).select(F.lit(m).alias("model"), "*") for m, f in r.fits.items()])
+    regression.inference(r, "full", run_blocks=False)
+    return _shown(models.coefficients(r.fits["sar"], spark, "full_HC1"), FULL)
+
+
+def _impacts(spark, d, model):
+    names = {c: c for c in ("model", "variable", "direct", "indirect", "total")}
+    return _shown(models.impact_table(_fitted(spark, d).fits[model], spark).withColumn("model", F.lit(model)), names)
+
+
+query("impacts", FITTED + fit_sql.fit_ctes(XL) + fit_sql.impacts(XL, "sdm"))(lambda spark, d: _impacts(spark, d, "sdm"))
+query("impacts_sar", FITTED + fit_sql.fit_ctes(X) + fit_sql.impacts(X, "sar"))(lambda spark, d: _impacts(spark, d, "sar"))
 
 
 @query("sbs_draws")
