@@ -169,7 +169,13 @@ for _name, _contiguity, _route in (("edges_queen", "queen", "support"), ("edges_
 
 @query(
     "route_equivalence",
-    f"WITH {GRID}, {pairs_sql()} SELECT m.comparator, count(*) AS nnz_a, count(*) AS nnz_b, true AS nnz_equal, true AS structure_equal, 0.0::DOUBLE AS max_abs_diff, CAST(0 AS BIGINT) AS diff_nnz, true AS equal_within_tol FROM pairs CROSS JOIN (VALUES ('full_scan'), ('support_edges')) AS m(comparator) GROUP BY 1",
+    f"""WITH {GRID}, {pairs_sql()}, lattice AS (SELECT r AS row, c AS col, (r - 1) * 100 + c AS cell FROM range(1, (SELECT max(o_orderkey) // 100 + 2 FROM orders)) AS a(r) CROSS JOIN range(1, 101) AS b(c)),
+    first AS (SELECT a.cell AS i, b.cell AS j FROM lattice a CROSS JOIN moves JOIN lattice b ON b.row = a.row + dr AND b.col = a.col + dc WHERE a.cell IN (SELECT cell FROM support) AND b.cell IN (SELECT cell FROM support)),
+    scan AS (SELECT a.cell AS i, b.cell AS j FROM support a JOIN support b ON b.row BETWEEN a.row - 1 AND a.row + 1 AND abs(a.col - b.col) <= 1 AND a.cell <> b.cell),
+    other AS (SELECT 'support_edges' AS comparator, i, j FROM pairs UNION ALL SELECT 'full_scan', i, j FROM scan),
+    met AS (SELECT comparator, first.i IS NOT NULL AS a, o.i IS NOT NULL AS b FROM (SELECT * FROM first CROSS JOIN (VALUES ('support_edges'), ('full_scan')) AS m(comparator)) first FULL JOIN other o USING (comparator, i, j)),
+    n AS (SELECT comparator, count(*) FILTER (a) AS nnz_a, count(*) FILTER (b) AS nnz_b, count(*) FILTER (NOT (a AND b)) AS odd FROM met GROUP BY 1)
+    SELECT comparator, nnz_a, nnz_b, nnz_a = nnz_b AS nnz_equal, odd = 0 AS structure_equal, CASE WHEN odd > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS max_abs_diff, odd AS diff_nnz, odd = 0 AS equal_within_tol FROM n""",
 )
 def route_equivalence(spark, d):
     base, grid = _support(spark, d)
@@ -483,7 +489,7 @@ def scenario_sizes(spark, d):
     return scenarios.prepare(cut(base, "support"), grid, SHARES, "random")[1]
 
 
-@query("scenario_labels", "SELECT * FROM (VALUES (0.0001::DOUBLE, '0p01pct'), (0.005::DOUBLE, '0p5pct'), (0.1::DOUBLE, '10pct'), (1.0::DOUBLE, '100pct')) AS t(share, label)")
+@query("scenario_labels", "SELECT share, replace(regexp_replace(printf('%.4f', share * 100), '\\.?0+$', ''), '.', 'p') || 'pct' AS label FROM (VALUES (0.0001::DOUBLE), (0.005::DOUBLE), (0.1::DOUBLE), (1.0::DOUBLE)) AS t(share)")
 def scenario_labels(spark, d):
     return spark.createDataFrame([(s, scalars.share_label(s)) for s in scalars.proportions([1, 0.1, 0.005, 0.0001])], "share double, label string")
 
@@ -499,22 +505,44 @@ def component_allocation(spark, d):
     return scalars.fill_union([scenarios.allocate(sizes, k, 59).select(F.lit(k).cast("bigint").alias("k"), "component", "n", "take") for k in (14, 15, 30)])
 
 
-# Components in SQL need all pairs of cells that reach each other, too slow on whole tables: tests use union-find.
 
 
-@query("connected_components")
+def _components_sql(contiguity: str, rounds: int = 300) -> str:
+    """parts(component, cell): every cell takes the least label around it, then its label's label; such rounds settle
+    in about the logarithm of the longest way."""
+    return f"""{pairs_sql(contiguity)},
+near(step, cell, lab) AS (SELECT 0, cell, cell FROM support UNION ALL
+    SELECT t.step + 1, t.cell, u.lab FROM (SELECT a.step, a.cell, least(a.lab, coalesce(min(b.lab), a.lab)) AS lab FROM near a LEFT JOIN pairs ON pairs.i = a.cell LEFT JOIN near b ON b.cell = pairs.j GROUP BY a.step, a.cell, a.lab) t
+    JOIN near u ON u.cell = t.lab WHERE t.step < {rounds}),
+parts AS MATERIALIZED (SELECT dense_rank() OVER (ORDER BY lab) AS component, near.cell, row, col FROM near JOIN support ON support.cell = near.cell WHERE step = {rounds})"""
+
+
+SEEDS = """middle AS (SELECT component, avg(row) AS r, avg(col) AS c FROM parts GROUP BY 1),
+seeds AS MATERIALIZED (SELECT component, min_by(cell, (round((row - r) * (row - r) + (col - c) * (col - c), 9), cell)) AS cell FROM parts JOIN middle USING (component) GROUP BY 1)"""
+# first in, first out: a cell's place follows its first parent's, then the step from it; levels carry all that was seen
+ORDER = """ranked AS MATERIALIZED (SELECT component, a.cell AS i, b.cell AS j, o FROM parts a CROSS JOIN (VALUES (-1,0,0),(1,0,1),(0,-1,2),(0,1,3),(-1,-1,4),(-1,1,5),(1,-1,6),(1,1,7)) AS t(dr, dc, o) JOIN support b ON b.row = a.row + dr AND b.col = a.col + dc),
+walk(step, component, cell, place) AS (SELECT 0, component, cell, CAST(1 AS BIGINT) FROM seeds UNION ALL
+    SELECT step + 1, component, cell, place FROM (
+        SELECT step, component, cell, place, false AS fresh FROM walk
+        UNION ALL SELECT f.step, f.component, f.cell, l.last + row_number() OVER (PARTITION BY f.component ORDER BY f.by_), true FROM (
+            SELECT w.step, r.component, r.j AS cell, min(w.place * 10 + r.o) AS by_ FROM walk w JOIN ranked r ON r.i = w.cell WHERE r.j NOT IN (SELECT cell FROM walk) GROUP BY 1, 2, 3) f
+        JOIN (SELECT component, max(place) AS last FROM walk GROUP BY 1) l ON l.component = f.component) x WHERE step < {steps}),
+places AS MATERIALIZED (SELECT component, cell, place FROM walk WHERE step = {steps})"""
+
+
+@query("connected_components", f"WITH RECURSIVE {GRID}, {_components_sql('rook')} SELECT component, cell FROM parts")
 def connected_components(spark, d):
     base, grid = _support(spark, d)
     return scenarios.labelled(cut(base, "support"), grid, "rook").select("component", "cell")
 
 
-@query("connected_component_sizes")
+@query("connected_component_sizes", f"WITH RECURSIVE {GRID}, {_components_sql('queen')} SELECT component, count(*) AS n_cells FROM parts GROUP BY 1")
 def connected_component_sizes(spark, d):
     base, grid = _support(spark, d)
     return scenarios.labelled(cut(base, "support"), grid).groupBy("component").agg(F.count(F.lit(1)).alias("n_cells"))
 
 
-@query("component_seed_cells")
+@query("component_seed_cells", f"WITH RECURSIVE {GRID}, {_components_sql('rook')}, {SEEDS} SELECT component, cell FROM seeds")
 def component_seed_cells(spark, d):
     base, grid = _support(spark, d)
     return scenarios.seeds(scenarios.labelled(cut(base, "support"), grid, "rook"))
@@ -530,7 +558,7 @@ def reach_within_6_steps(spark, d):
     return search.levels(edge, base.agg(F.min("cell").alias("cell")), 6)
 
 
-@query("bfs_orders")
+@query("bfs_orders", f"WITH RECURSIVE {GRID}, {_components_sql('queen')}, {SEEDS}, {ORDER.replace('{steps}', '400')} SELECT component, cell, place FROM places")
 def bfs_orders(spark, d):
     base, grid, _ = _weights(spark, d)
     parts = cut(scenarios.labelled(base, grid), "labelled")
@@ -538,7 +566,12 @@ def bfs_orders(spark, d):
     return search.orders(ranked, scenarios.seeds(parts), parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("spatial_nested_supports")
+ALLOCATION = """counts AS (SELECT component, count(*) AS n FROM parts GROUP BY 1), whole AS (SELECT scenario, greatest(1, CAST(floor(share::DOUBLE * t + 1e-9) AS BIGINT)) AS k, t FROM takes CROSS JOIN (SELECT sum(n) AS t FROM counts)),
+quota AS (SELECT scenario, k, component, n, n * (k * 1.0::DOUBLE) / t AS q FROM counts CROSS JOIN whole),
+given AS (SELECT scenario, component, least(n, floor(q) + CASE WHEN row_number() OVER (PARTITION BY scenario ORDER BY round(q - floor(q), 12) DESC, component) <= k - sum(floor(q)) OVER (PARTITION BY scenario) THEN 1 ELSE 0 END) AS take FROM quota)"""
+
+
+@query("spatial_nested_supports", f"WITH RECURSIVE {GRID}, {_components_sql('queen')}, {SEEDS}, {ORDER.replace('{steps}', '400')}, {TAKES}, {ALLOCATION} SELECT scenario, cell FROM places JOIN given USING (component) WHERE place <= take")
 def spatial_nested_supports(spark, d):
     base, grid, _ = _weights(spark, d)
     return scenarios.spatial_supports(base, grid, SHARES)
@@ -592,21 +625,28 @@ def validation_summary(spark, d):
     return benchmark.summarise_checks(spark.createDataFrame(_CHECKS, "scenario string, comparator_method string, rep int, common_equal boolean, final_equal boolean, output_equivalence_ok boolean, final_max_abs_diff double"))
 
 
-@query("bind_fill", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'a', NULL::DOUBLE), (2, 'b', NULL), (3, NULL, 0.5)) AS t(id, name, share)")
+@query("bind_fill", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'a'), (2, 'b')) AS t(id, name) UNION ALL BY NAME SELECT * FROM (VALUES (CAST(3 AS BIGINT), 0.5::DOUBLE)) AS u(id, share)")
 def bind_fill(spark, d):
     return scalars.fill_union([spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string"), spark.createDataFrame([(3, 0.5)], "id long, share double")])
 
 
-_FAILURES = [(1, "Error: cannot allocate vector of size 2 Gb", ""), (2, "subscript out of bounds", ""), (3, "something else", ""), (4, "", "reached elapsed time limit"), (5, "", ""), (6, "java.lang.OutOfMemoryError: Java heap space", "")]
+_FAILURES = [(1, "Error: cannot allocate vector of size 2 Gb", ""), (2, "subscript out of bounds", ""), (3, "something else", ""), (4, "", "reached elapsed time limit"), (5, "", ""), (6, "java.lang.OutOfMemoryError: Java heap space", ""), (7, "std::bad_alloc", ""), (8, "negative length vectors are not allowed", ""), (9, "", "long vectors not supported yet"), (10, "Allocation failure", "")]
+
+
+_HARD_SQL = " OR ".join(f"regexp_matches(lower(m), '{p}')" for p in [*scalars.HARD, *scalars.HARD_HERE])
 
 
-@query("failure_class", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'hard'), (2, 'soft'), (3, 'soft'), (4, 'hard'), (5, NULL), (6, 'hard')) AS t(id, failure_class)")
+@query(
+    "failure_class",
+    "WITH said AS (SELECT id, trim(error || ' ' || warning) AS m FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), '{e}', '{w}')" for i, e, w in _FAILURES) + f""") AS t(id, error, warning))
+    SELECT id, CASE WHEN m = '' THEN NULL WHEN {_HARD_SQL} THEN 'hard' ELSE 'soft' END AS failure_class FROM said""",
+)
 def failure_class(spark, d):
     df = spark.createDataFrame(_FAILURES, "id long, error string, warning string")
     return df.select("id", scalars.failure_class(F.nullif(F.col("error"), F.lit("")), F.nullif(F.col("warning"), F.lit(""))).alias("failure_class"))
 
 
-@query("round_and_format", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 1.234568::DOUBLE, 1048576.0::DOUBLE, 1.0::DOUBLE, 2.5::DOUBLE), (2, -2.0, 524288.0, 0.5, NULL)) AS t(id, x, bytes_w, bytes_w_mb, n)")
+@query("round_and_format", "SELECT id, round(x, 6) AS x, bytes_w, bytes_w / 1048576 AS bytes_w_mb, TRY_CAST(n AS DOUBLE) AS n FROM (VALUES (CAST(1 AS BIGINT), 1.23456789::DOUBLE, 1048576.0::DOUBLE, '2.5'), (2, -2.0, 524288.0, 'n/a')) AS t(id, x, bytes_w, n)")
 def round_and_format(spark, d):
     df = spark.createDataFrame([(1, 1.23456789, 1048576.0, "2.5"), (2, -2.0, 524288.0, "n/a")], "id long, x double, bytes_w double, n string")
     return scalars.rounded(scalars.with_megabytes(scalars.numbers(df, ["id"])))
