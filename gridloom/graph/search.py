@@ -8,25 +8,56 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.runtime import cut, release
+from gridloom.runtime import cut
+
+
+class Pieces:
+    """Rows that are only added to: written tables, merged by eights, so that a row is written again as often as the
+    logarithm of the number of additions, and what is read stays a union of few tables."""
+
+    MERGED = 8
+
+    def __init__(self, first: DataFrame):
+        self.tiers: list[list[DataFrame]] = [[first]]
+
+    def add(self, rows: DataFrame) -> None:
+        """rows: written by ``cut``."""
+        tier = 0
+        while True:
+            if tier == len(self.tiers):
+                self.tiers.append([])
+            self.tiers[tier].append(rows)
+            if len(self.tiers[tier]) < self.MERGED:
+                return
+            old, self.tiers[tier] = self.tiers[tier], []
+            rows = cut(_union(old), "merged")
+            tier += 1
+
+    def all(self) -> DataFrame:
+        return _union([x for tier in self.tiers for x in tier])
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def levels(edge: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
-    """(cell, level) of what the start cells reach in at most ``most`` steps; a job a level, each written to the shared
-    folder. Nothing is gathered: the frontier meets the edges by an equi-join."""
-    seen = cut(starts.select("cell", F.lit(0).cast("bigint").alias("level")).distinct(), "levels")
-    front, n = seen, 0
+    """(cell, level) of what the start cells reach in at most ``most`` steps; a job a level, of which only the new cells
+    are written. Nothing is gathered: the frontier meets the edges by an equi-join."""
+    front = cut(starts.select("cell", F.lit(0).cast("bigint").alias("level")).distinct(), "levels")
+    seen, n = Pieces(front), 0
     pairs = edge.select(F.col("i").alias("cell"), F.col("j").alias("next")).distinct()
     while most is None or n < most:
         n += 1
-        new = pairs.join(front.select("cell"), "cell", "left_semi").select(F.col("next").alias("cell")).distinct().join(seen.select("cell"), "cell", "left_anti")
-        both = cut(seen.unionByName(new.select("cell", F.lit(n).cast("bigint").alias("level"))), "levels")
-        front = both.where(F.col("level") == n)
-        release(seen)
-        seen = both
+        new = pairs.join(front.select("cell"), "cell", "left_semi").select(F.col("next").alias("cell")).distinct().join(seen.all().select("cell"), "cell", "left_anti")
+        front = cut(new.select("cell", F.lit(n).cast("bigint").alias("level")), "levels")
         if front.isEmpty():
             break
-    return seen
+        seen.add(front)
+    return seen.all()
 
 
 def visit(neighbours: dict[int, list[int]], start: int, most: int | None = None) -> list[int]:
@@ -70,19 +101,30 @@ def orders(ranked: DataFrame, starts: DataFrame, sizes: DataFrame, bound: int =
     return out
 
 
+#: Cells of a front that one task ranks.
+MOST_FRONT = 1_000_000
+
+
 def _by_level(ranked: DataFrame, starts: DataFrame) -> DataFrame:
-    """Places follow levels; within a level, the place of the first parent to reach a cell, then the step from it."""
-    seen = cut(starts.select("component", "cell", F.lit(1).cast("bigint").alias("place")), "places")
-    front = seen
+    """Places follow levels; within a level, the place of the first parent to reach a cell, then the step from it.
+
+    A level's cells alone are written. Fronts are ranked by component; large ones in ranges over the cluster."""
+    front = cut(starts.select("component", "cell", F.lit(1).cast("bigint").alias("place")), "places")
+    seen, last = Pieces(front), cut(starts.select("component", F.lit(1).cast("bigint").alias("last")), "last")
     while True:
         reach = ranked.join(front.select("component", F.col("cell").alias("i"), "place"), ["component", "i"]).select("component", F.col("j").alias("cell"), F.struct("place", "o").alias("by"))
-        new = cut(reach.groupBy("component", "cell").agg(F.min("by").alias("by")).join(seen.select("component", "cell"), ["component", "cell"], "left_anti"), "front")
-        if new.isEmpty():
-            return seen
-        done = seen.groupBy("component").agg(F.max("place").alias("last"))
-        rank = F.row_number().over(Window.partitionBy("component").orderBy("by"))
-        front = new.join(done, "component").select("component", "cell", (F.col("last") + rank).alias("place"))
-        both = cut(seen.unionByName(front), "places")
-        front = both.join(new.select("component", "cell"), ["component", "cell"], "left_semi")
-        release(seen)
-        seen = both
+        new = cut(reach.groupBy("component", "cell").agg(F.min("by").alias("by")).join(seen.all().select("component", "cell"), ["component", "cell"], "left_anti"), "front")
+        n = new.count()
+        if not n:
+            return seen.all()
+        if n <= MOST_FRONT:
+            rank = new.withColumn("rank", F.row_number().over(Window.partitionBy("component").orderBy("by")))
+        else:
+            from gridloom.graph.scenarios import numbered
+
+            all_ = numbered(new.withColumn("key", F.struct("component", "by")), "key", "rank").drop("key")
+            rank = all_.join(all_.groupBy("component").agg(F.min("rank").alias("low")), "component").withColumn("rank", F.col("rank") - F.col("low") + 1)
+        front = cut(rank.join(last, "component").select("component", "cell", (F.col("last") + F.col("rank")).alias("place")), "places")
+        seen.add(front)
+        more = front.groupBy("component").agg(F.max("place").alias("more"))
+        last = cut(last.join(more, "component", "left").select("component", F.greatest("last", "more").alias("last")), "last")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalars import present
-from gridloom.sources.cells import LAYERS, Grid, resample_nearest
+from gridloom.sources.cells import LAYERS, Grid, RESAMPLING
 
 
 def valid(layers: list[str] | None = None) -> Column:
@@ -30,14 +30,15 @@ def common_support(cells: DataFrame, layers: list[str] | None = None, check: boo
 def align(parts: dict[str, DataFrame], template: DataFrame, grid: Grid, grids: dict[str, Grid] | None = None, methods: dict[str, str] | None = None) -> DataFrame:
     """Layers (cell, value) side by side on the template's cells: (cell, row, col, <layer>...).
 
-    A layer with a grid of its own is resampled to the template first; "near" is the method there is.
+    A layer with a grid of its own is resampled to the template first, each by its method: "near" or "bilinear".
     """
     out = template
     for name, df in parts.items():
-        if (methods or {}).get(name, "near") != "near":
-            raise ValueError(f"resampling by {methods[name]} isn't known")
+        method = (methods or {}).get(name, "near")
+        if method not in RESAMPLING:
+            raise ValueError(f"resampling by {method} isn't known")
         own = (grids or {}).get(name)
-        df = resample_nearest(template, grid, df, own) if own else df
+        df = RESAMPLING[method](template, grid, df, own) if own else df
         out = out.join(df.select("cell", F.col("value").cast("double").alias(name)), "cell", "left")
     return out
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import scalars
 from gridloom.operators import weights
-from gridloom.runtime import cut, release
+from gridloom.runtime import cut, release, stored_bytes
 from gridloom.sources import sinks
 from gridloom.sources.cells import Grid, template
 
@@ -66,7 +66,9 @@ def failed(method: str, stage: str, error: str, warnings: list[str], cells: int)
 def run_route(method: str, support: DataFrame, grid: Grid, contiguity: str = "queen", timeout: float | None = 7200, chunk: int = 500_000, keep: bool = False) -> tuple[dict, dict[str, DataFrame]]:
     """One route, stage by stage, each forced before its clock stops: raw edges, then pruned and standardised ones.
 
-    Returns a row of sizes, times and modelled bytes (24 an edge, 8 a cell), and the two edge tables if ``keep``.
+    Returns a row of sizes, times and bytes, and the two edge tables if ``keep``. Bytes of the weights are those that
+    their tables take in the shared folder; bytes_lookup is what the route goes through beside them, 24 an edge of the
+    lattice and 8 a cell.
     """
     spark, n = support.sparkSession, support.count()
     if method not in ROUTES:
@@ -84,12 +86,13 @@ def run_route(method: str, support: DataFrame, grid: Grid, contiguity: str = "qu
     if not final.ok:
         return failed(method, "prune", final.error, final.warnings, n), {}
     left = final.value.select("i").distinct().count()
+    common, stored = stored_bytes(raw.value), stored_bytes(final.value)
     pairs = (4 if contiguity == "rook" else 8) * grid.size
     held = {"projection": pairs * 24, "support_edges": n * 8, "full_scan": min(chunk, grid.size) * pairs // max(1, grid.size) * 24}[method]
     row = {
         "method": method, "status": "ok", "failure_stage": "", "failure_class": "", "error": "", "warning_message": " | ".join(raw.warnings + final.warnings), "cells_input": n, "cells_after_prune": left,
         "n_isolates": n - left, "nnz_common": nnz, "nnz_final": nnz, "elapsed_build": raw.elapsed, "elapsed_prune_std": final.elapsed, "elapsed_total": raw.elapsed + final.elapsed,
-        "bytes_lookup": float(held), "bytes_w_common": nnz * 24.0, "bytes_w_final": nnz * 24.0, "peak_object_bytes": float(max(held, nnz * 24)),
+        "bytes_lookup": float(held), "bytes_w_common": float(common), "bytes_w_final": float(stored), "peak_object_bytes": float(max(held, common, stored)),
     }
     if method == "full_scan":
         row |= {"n_full_pairs_scanned": pairs, "terra_chunk_size": chunk, "terra_mode": "chunked" if chunk < grid.size else "single"}

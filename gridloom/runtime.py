@@ -54,6 +54,12 @@ def release(*frames: DataFrame) -> None:
             p.getFileSystem(session._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files of a frame made by ``cut``."""
+    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._gridloom_path)
+    return p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -193,6 +193,50 @@ def resample_nearest(target: DataFrame, grid: Grid, source: DataFrame, from_grid
     return at.join(source.select(F.col("cell").alias("source"), "value"), "source", "left").select("cell", "value")
 
 
+def resample_bilinear(target: DataFrame, grid: Grid, source: DataFrame, from_grid: Grid) -> DataFrame:
+    """(cell, value): the four source cells around each target cell's centre, weighted by how near they are; cells
+    without a value, or outside, don't count; null where none does. One join and aggregate."""
+    u = (F.lit(grid.x0) + (F.col("col") - 0.5) * grid.dx - from_grid.x0) / from_grid.dx - 0.5
+    v = (F.lit(grid.y0) + (F.col("row") - 0.5) * grid.dy - from_grid.y0) / from_grid.dy - 0.5
+    near = lambda x, step: (F.floor(x) + 1 + step, x - F.floor(x) if step else 1 - (x - F.floor(x)))
+    around = []
+    for a in (0, 1):
+        for b in (0, 1):
+            (r, wr), (c, wc) = near(v, a), near(u, b)
+            around.append(F.struct(F.when(inside(r, c, from_grid.rows, from_grid.cols), cell_of(r, c, from_grid.cols)).alias("source"), (wr * wc).alias("weight")))
+    at = target.select("cell", F.inline(F.array(*around)))
+    known = source.where(present(F.col("value"))).select(F.col("cell").alias("source"), F.col("value").cast("double").alias("value"))
+    met = at.join(known, "source", "left").groupBy("cell")
+    weight = F.sum(F.when(F.col("value").isNotNull(), F.col("weight")))
+    return met.agg(F.when(weight > 0, F.sum(F.col("value") * F.col("weight")) / weight).alias("value"))
+
+
+RESAMPLING = {"near": resample_nearest, "bilinear": resample_bilinear}
+
+
+def polygon_cells(polygons: DataFrame, grid: Grid, name: str = "name", wkt: str = "wkt") -> DataFrame:
+    """(name, cell) of the cells whose centres lie within a polygon, from POLYGON or MULTIPOLYGON texts.
+
+    Every line of centres is cut by the edges that cross it; between odd and even cuts lies the inside, so holes and
+    parts need no telling apart. Edges are dealt to the rows they cross, and a row of a polygon is one small group.
+    Names may repeat (their polygons count together); null and empty texts have no cell.
+    """
+    number = lambda point, i: F.element_at(F.split(F.trim(point), r"\s+"), i).cast("double")
+    one = lambda point: F.struct(((number(point, 1) - grid.x0) / grid.dx).alias("u"), ((number(point, 2) - grid.y0) / grid.dy).alias("v"))
+    each = polygons.select(F.col(name).alias("name"), F.col(wkt).alias("wkt"), F.monotonically_increasing_id().alias("of"))
+    rings = each.select("name", "of", F.explode(F.regexp_extract_all("wkt", F.lit(r"\(([^()]+)\)"), F.lit(1))).alias("ring"))
+    points = rings.select("name", "of", F.transform(F.split("ring", ","), one).alias("p"))
+    ends = F.zip_with(F.slice("p", F.lit(1), F.size("p") - 1), F.slice("p", F.lit(2), F.size("p") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    edge = points.where(F.size("p") > 1).select("name", "of", F.explode(ends).alias("e")).select("name", "of", "e.a.u", "e.a.v", F.col("e.b.u").alias("u2"), F.col("e.b.v").alias("v2"))
+    first, last = F.greatest(F.lit(1), F.ceil(F.least("v", "v2") + 0.5)), F.least(F.lit(grid.rows), F.ceil(F.greatest("v", "v2") + 0.5) - 1)
+    rows = edge.withColumns({"first": first, "last": last}).where("first <= last").select("*", F.explode(F.sequence("first", "last")).alias("row"))
+    cut_at = F.col("u") + (F.col("row") - 0.5 - F.col("v")) * (F.col("u2") - F.col("u")) / (F.col("v2") - F.col("v"))
+    cuts = rows.groupBy("name", "of", "row").agg(F.sort_array(F.collect_list(cut_at)).alias("cuts"))
+    spans = F.transform(F.sequence(F.lit(1), F.floor(F.size("cuts") / 2).cast("int")), lambda k: F.struct(F.greatest(F.lit(1), F.ceil(F.element_at("cuts", 2 * k - 1) + 0.5)).alias("a"), F.least(F.lit(grid.cols), F.ceil(F.element_at("cuts", 2 * k) + 0.5) - 1).alias("b")))
+    within = cuts.where(F.size("cuts") > 1).select("name", "row", F.explode(spans).alias("s")).where("s.a <= s.b")
+    return within.select("name", "row", F.explode(F.sequence("s.a", "s.b")).alias("col")).select("name", cell_of(F.col("row"), F.col("col"), grid.cols).alias("cell")).distinct()
+
+
 # The grid that tests and queries use: one cell an order, 100 columns.
 FIXTURE_COLS = 100
 

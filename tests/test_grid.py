@@ -364,6 +364,81 @@ def test_suite_and_sinks(spark, sf, tmp_path):
     assert exact.fits["sar"].n == 858 and regression.run_dimensions(cells, key="band").count() == 1
 
 
+def test_exact_logdet_by_lines(spark):
+    """Beyond the cells of a full matrix, against the full matrix."""
+    import numpy as np
+
+    for rows, cols in ((70, 60), (5, 40), (1, 1)):
+        g = src.Grid(rows, cols)
+        cells = src.template(spark, g).where("(cell * 7919) % 13 < 10 OR cell = 1")
+        edge = weights.row_standardised(weights.edges(cells, g))
+        lines = traces.Lines(edge, cells)
+        w = traces.dense(edge, cells, 10_000)
+        assert lines.n == len(w)
+        for rho in (-0.7, 0.0, 0.5, 0.95):
+            assert lines.logdet(rho) == pytest.approx(traces.exact_logdet(rho, w), abs=1e-8)
+    with pytest.raises(ValueError):
+        traces.Lines(edge, src.template(spark, src.Grid(9, 9)), most=8)
+
+
+def test_bilinear_against_plain_arithmetic(spark):
+    import math
+
+    fine, coarse = src.Grid(7, 9, 0.3, -0.2, 0.5, 0.7), src.Grid(4, 5, 0.0, 0.0, 1.0, 1.0)
+    values = {c: float(c * c % 17) for c in range(1, 21) if c not in (3, 12)}
+    source = spark.createDataFrame([*values.items(), (3, None), (12, float("nan"))], "cell long, value double")
+    got = {r["cell"]: r["value"] for r in src.resample_bilinear(src.template(spark, fine), fine, source, coarse).collect()}
+    for r in range(1, 8):
+        for c in range(1, 10):
+            u, v = 0.3 + (c - 0.5) * 0.5 - 0.5, -0.2 + (r - 0.5) * 0.7 - 0.5
+            total = weight = 0.0
+            for a in (0, 1):
+                for b in (0, 1):
+                    rr, cc = math.floor(v) + 1 + a, math.floor(u) + 1 + b
+                    w = (v - math.floor(v) if a else 1 - v + math.floor(v)) * (u - math.floor(u) if b else 1 - u + math.floor(u))
+                    if 1 <= rr <= 4 and 1 <= cc <= 5 and (rr - 1) * 5 + cc in values:
+                        total, weight = total + w * values[(rr - 1) * 5 + cc], weight + w
+            assert got[(r - 1) * 9 + c] == (pytest.approx(total / weight) if weight > 0 else None)
+    template = src.template(spark, fine)
+    both = support.align({"a": source, "b": source}, template, fine, {"a": coarse, "b": coarse}, {"b": "bilinear"}).collect()
+    assert {r["cell"]: r["b"] for r in both} == got and any(r["a"] != r["b"] for r in both)
+
+
+def test_polygons_against_point_tests(spark):
+    g = src.Grid(30, 40, 10.0, 50.0, 0.25, -0.5)
+    shapes = {
+        "star": [[(11, 49), (15, 36.2), (19, 49.5), (10.5, 41), (19.6, 41.3), (11, 49)]],
+        "ring": [[(10, 50), (20, 50), (20, 35), (10, 35), (10, 50)], [(12, 47), (12, 40), (18, 40), (18, 47), (12, 47)]],
+        "outside": [[(-5, 48), (13, 60), (13, 30), (-5, 48)]], "tiny": [[(10.1, 49.9), (10.11, 49.9), (10.11, 49.89), (10.1, 49.9)]],
+    }
+    texts = [(n, f"{'MULTI' * (n == 'ring')}POLYGON ((" + "), (".join(", ".join(f"{x} {y}" for x, y in ring) for ring in rings) + "))") for n, rings in shapes.items()] + [("none", None), ("empty", "POLYGON EMPTY")]
+    got = {(r["name"], r["cell"]) for r in src.polygon_cells(spark.createDataFrame(texts, "name string, wkt string"), g).collect()}
+    want = set()
+    for n, rings in shapes.items():
+        for row in range(1, 31):
+            for col in range(1, 41):
+                x, y = 10 + (col - 0.5) * 0.25, 50 - (row - 0.5) * 0.5
+                odd = sum((y1 > y) != (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1) for ring in rings for (x1, y1), (x2, y2) in zip(ring, ring[1:])) % 2
+                want |= {(n, (row - 1) * 40 + col)} if odd else set()
+    assert got == want and len(want) > 500
+
+
+def test_standardisation_drops_rows_without_a_sum_and_their_columns(spark):
+    edge = spark.createDataFrame([(1, 2, 1.0), (1, 3, 3.0), (1, 4, 2.0), (2, 1, 2.0), (3, 1, 0.0), (4, 2, 1.0), (4, 2, -1.0)], "i long, j long, w double")
+    got = sorted(map(tuple, weights.row_standardised(edge).collect()))
+    assert got == [(1, 2, 1.0), (2, 1, 1.0)]
+    assert weights.standardised_or_error(edge, symmetric=False).count() == 2
+    with pytest.raises(ValueError):
+        weights.standardised_or_error(spark.createDataFrame([(1, 2, 1.0)], edge.schema), symmetric=False)
+
+
+def test_levels_keep_what_was_seen_in_few_tables(spark):
+    g = src.Grid(1, 40)
+    cells = src.template(spark, g)
+    got = {r["cell"]: r["level"] for r in search.levels(weights.edges(cells, g), spark.createDataFrame([(3,)], "cell long")).collect()}
+    assert got == {c: abs(c - 3) for c in range(1, 41)}
+
+
 def test_golden_counts(spark, sf):
     cells, g = src.fixture_grid(spark, sf)
     base = support.common_support(cells)
