@@ -133,6 +133,40 @@ def nearest_resample(spark, d):
     return src.resample_nearest(g.select("cell", "row", "col"), grid, source, coarse).select("cell", F.round("value", 4).alias("value"))
 
 
+@query(
+    "bilinear_resample",
+    f"""WITH {GRID}, s AS (SELECT row, col, gdp AS value FROM grid WHERE col <= 50 AND row <= (SELECT (max(row) + 1) // 2 FROM grid)), t AS (SELECT cell, (col - 0.5) / 2.0 - 0.5 AS u, (row - 0.5) / 2.0 - 0.5 AS v FROM grid),
+    a AS (SELECT cell, floor(v) + 1 + dr AS r, floor(u) + 1 + dc AS c, CASE WHEN dr = 1 THEN v - floor(v) ELSE 1 - v + floor(v) END * CASE WHEN dc = 1 THEN u - floor(u) ELSE 1 - u + floor(u) END AS w FROM t CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS m(dr, dc))
+    SELECT a.cell, round(CAST(CASE WHEN sum(w) FILTER (value IS NOT NULL) > 0 THEN sum(value * w) / sum(w) FILTER (value IS NOT NULL) END AS DOUBLE), 6) AS value FROM a LEFT JOIN s ON s.row = r AND s.col = c GROUP BY 1""",
+)
+def bilinear_resample(spark, d):
+    g, grid = src.fixture_grid(spark, d)
+    coarse = src.Grid(-(-grid.rows // 2), 50, dx=2.0, dy=2.0)
+    source = g.where((F.col("col") <= 50) & (F.col("row") <= coarse.rows)).select(scalars.cell_of(F.col("row"), F.col("col"), 50).alias("cell"), F.col("gdp").alias("value"))
+    return src.resample_bilinear(g.select("cell", "row", "col"), grid, source, coarse).select("cell", F.round("value", 6).alias("value"))
+
+
+SHAPES = {
+    "star": [[(5.2, 3.1), (48.7, 140.3), (91.4, 8.8), (2.9, 77.2), (97.3, 81.6), (5.2, 3.1)]],
+    "ring": [[(10.3, 10.4), (90.1, 12.2), (88.8, 120.6), (12.7, 118.9), (10.3, 10.4)], [(30.2, 40.1), (30.4, 80.3), (60.6, 79.2), (60.8, 41.7), (30.2, 40.1)]],
+}
+
+
+def _shapes_sql() -> str:
+    sides = [(n, *a, *b) for n, rings in SHAPES.items() for ring in rings for a, b in zip(ring, ring[1:])]
+    return "sides AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {x1}::DOUBLE, {y1}::DOUBLE, {x2}::DOUBLE, {y2}::DOUBLE)" for n, x1, y1, x2, y2 in sides) + ") AS t(name, x1, y1, x2, y2))"
+
+
+@query(
+    "polygon_masks",
+    f"WITH {GRID}, {_shapes_sql()} SELECT name, cell FROM grid CROSS JOIN sides WHERE (y1 > row - 0.5) <> (y2 > row - 0.5) AND col - 0.5 < x1 + (row - 0.5 - y1) * (x2 - x1) / (y2 - y1) GROUP BY 1, 2 HAVING count(*) % 2 = 1",
+)
+def polygon_masks(spark, d):
+    _, grid = src.fixture_grid(spark, d)
+    texts = [(n, "POLYGON ((" + "), (".join(", ".join(f"{x} {y}" for x, y in ring) for ring in rings) + "))") for n, rings in SHAPES.items()]
+    return src.polygon_cells(spark.createDataFrame(texts, "name string, wkt string"), grid)
+
+
 @query("crop_mask", f"WITH {GRID} SELECT cell, round(pop, 4) AS pop FROM grid WHERE region_name = 'ASIA' AND band = 0")
 def crop_mask(spark, d):
     g, _ = src.fixture_grid(spark, d)
@@ -163,7 +197,7 @@ def _edge_query(name: str, contiguity: str, route: str) -> None:
     query(name, f"WITH {GRID}, {pairs_sql(contiguity)} SELECT i, j FROM pairs")(run)
 
 
-for _name, _contiguity, _route in (("edges_queen", "queen", "support"), ("edges_rook", "rook", "support"), ("edges_full_lattice_projected", "queen", "projection"), ("edges_full_scan", "rook", "scan")):
+for _name, _contiguity, _route in (("edges_queen", "queen", "support"), ("edges_rook", "rook", "support"), ("edges_full_lattice_projected", "queen", "projection"), ("edges_full_scan", "queen", "scan"), ("edges_full_scan_rook", "rook", "scan")):
     _edge_query(_name, _contiguity, _route)
 
 
@@ -258,12 +292,16 @@ def neumann_solve(spark, d):
 # Autocorrelation
 
 
-def _moran_sql(stat: str) -> str:
+def _moran_sql(stat: str | None) -> str:
     long = " UNION ALL ".join(f"SELECT band, '{v}' AS variable, cell, row, col, {v} AS x FROM grid WHERE {v} IS NOT NULL" for v in LAYERS)
     out = {
         "moran": "n, round(i, 6) AS moran_i, round(-1.0 / (n - 1), 8) AS moran_e, round(vi, 8) AS moran_var, round((i + 1.0 / (n - 1)) / sqrt(vi), 4) AS moran_z",
         "geary": "n, round(c, 6) AS geary_c, 1.0::DOUBLE AS geary_e, round(vc, 8) AS geary_var, round((1 - c) / sqrt(vc), 4) AS geary_z",
-    }[stat]
+    }.get(stat)
+    labels = " ".join(f"WHEN '{v}' THEN '{autocorr.LABELS[v]}'" for v in LAYERS)
+    select = f"SELECT band, variable, {out} FROM u" if stat else f""", held AS (SELECT band, variable, count(*) AS non_na FROM long GROUP BY 1, 2), nnz AS (SELECT band, variable, count(*) AS nnz FROM p GROUP BY 1, 2)
+SELECT band, CASE variable {labels} END AS variable, (SELECT max(row) FROM grid) * 100 AS total_grids, non_na, coalesce(n, 0) AS retained_non_isolates, round(i, 6) AS "moran_I", round(c, 6) AS "geary_C", round(coalesce(nnz, 0) * 24 / 1048576.0::DOUBLE, 6) AS w_tilde_mb
+FROM held LEFT JOIN u USING (band, variable) LEFT JOIN nnz USING (band, variable)"""
     return f"""WITH {GRID}, moves AS (SELECT * FROM (VALUES {MOVES['queen']}) AS t(dr, dc)), long AS ({long}),
 p AS (SELECT a.band, a.variable, a.cell AS i, b.cell AS j FROM long a CROSS JOIN moves JOIN long b ON b.band = a.band AND b.variable = a.variable AND b.row = a.row + dr AND b.col = a.col + dc),
 deg AS (SELECT band, variable, i AS cell, CAST(count(*) AS DOUBLE) AS d FROM p GROUP BY 1, 2, 3),
@@ -277,7 +315,7 @@ t AS (SELECT band, variable, n, z2, cr, sq, s1, s2, n * z4 / (z2 * z2) AS k FROM
 u AS (SELECT band, variable, CAST(n AS BIGINT) AS n, cr / z2 AS i, (n - 1) / (2 * n) * sq / z2 AS c,
       (n * ((n * n - 3 * n + 3) * s1 - n * s2 + 3 * n * n) - k * ((n * n - n) * s1 - 2 * n * s2 + 6 * n * n)) / ((n - 1) * (n - 2) * (n - 3) * n * n) - 1.0 / ((n - 1) * (n - 1)) AS vi,
       ((n - 1) * s1 * (n * n - 3 * n + 3 - (n - 1) * k) - 0.25 * (n - 1) * s2 * (n * n + 3 * n - 6 - (n * n - n + 2) * k) + n * n * (n * n - 3 - (n - 1) * (n - 1) * k)) / (n * (n - 2) * (n - 3) * n * n) AS vc FROM t)
-SELECT band, variable, {out} FROM u"""
+{select}"""
 
 
 def _moran(spark, d):
@@ -295,10 +333,12 @@ def geary(spark, d):
     return _moran(spark, d).select("band", "variable", "n", F.round("geary_c", 6).alias("geary_c"), "geary_e", F.round("geary_var", 8).alias("geary_var"), F.round("geary_z", 4).alias("geary_z"))
 
 
-@query("autocorrelation_suite")
+@query("autocorrelation_suite", _moran_sql(None))
 def autocorrelation_suite(spark, d):
+    """The suite's report without its seconds and p-values, which SQL can't repeat."""
     g, grid = src.fixture_grid(spark, d)
-    return regression.run_autocorrelation(g, grid, key="band")
+    out = regression.run_autocorrelation(g, grid, key="band")
+    return out.select("band", "variable", "total_grids", "non_na", "retained_non_isolates", *[F.round(c, 6).alias(c) for c in ("moran_I", "geary_C", "w_tilde_mb")])
 
 
 # Models
@@ -652,7 +692,14 @@ def round_and_format(spark, d):
     return scalars.rounded(scalars.with_megabytes(scalars.numbers(df, ["id"])))
 
 
-@query("benchmark_routes")
+@query(
+    "benchmark_routes",
+    f"""WITH {GRID}, {_shuffle_sql(42)}, shares AS (SELECT * FROM (VALUES ('10pct', 0.1), ('100pct', 1.0)) AS t(scenario, share)), moves AS (SELECT * FROM (VALUES {MOVES['queen']}) AS t(dr, dc)),
+    chosen AS (SELECT scenario, cell, row, col FROM placed JOIN support USING (cell) CROSS JOIN shares WHERE place <= greatest(1, CAST(floor(share::DOUBLE * v + 1e-9) AS BIGINT))),
+    near AS (SELECT a.scenario, a.cell, count(b.cell) AS d FROM chosen a CROSS JOIN moves LEFT JOIN chosen b ON b.scenario = a.scenario AND b.row = a.row + dr AND b.col = a.col + dc GROUP BY 1, 2)
+    SELECT scenario, method, 'ok' AS status, count(*) AS cells_input, count(*) FILTER (d > 0) AS cells_after_prune, count(*) FILTER (d = 0) AS n_isolates, CAST(sum(d) AS BIGINT) AS nnz_final, agrees AS output_equivalence_ok
+    FROM near CROSS JOIN (VALUES ('projection', NULL::BOOLEAN), ('support_edges', true), ('full_scan', true)) AS m(method, agrees) GROUP BY ALL""",
+)
 def benchmark_routes(spark, d):
     """The harness itself over two supports: sizes and equality of the routes, without the times."""
     base, grid = _support(spark, d)
