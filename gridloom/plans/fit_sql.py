@@ -104,3 +104,10 @@ def impacts(names: list[str], model: str) -> str:
         direct, total = f"((n + diagonal) / n * {b} + series / n * {theta})", f"(({b} + {theta}) / (1 - rho))"
         out.append(f"SELECT '{model}' AS model, '{name}' AS variable, {rounded(direct)} AS direct, {rounded(f'{total} - {direct}')} AS indirect, {rounded(total)} AS total FROM opt")
     return " " + " UNION ALL ".join(out)
+
+
+def quality(names: list[str], model: str) -> str:
+    """(model, n, logLik, AIC, BIC)."""
+    k = len(names) + 2
+    return f""", ll AS (SELECT n, (SELECT -sum(power(rho, k) * tr / k) FROM tr) - n / 2.0 * ln(sse / n) - n / 2.0 * ln(2 * pi()) - n / 2.0 AS v FROM opt)
+SELECT '{model}' AS model, CAST(n AS BIGINT) AS n, round(v, 4) AS "logLik", round(-2 * v + 2 * {k}, 4) AS "AIC", round(-2 * v + {k} * ln(n), 4) AS "BIC" FROM ll"""

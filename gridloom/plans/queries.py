@@ -490,6 +490,15 @@ query("impacts", FITTED + fit_sql.fit_ctes(XL) + fit_sql.impacts(XL, "sdm"))(lam
 query("impacts_sar", FITTED + fit_sql.fit_ctes(X) + fit_sql.impacts(X, "sar"))(lambda spark, d: _impacts(spark, d, "sar"))
 
 
+def _quality(spark, d, model):
+    r = _fitted(spark, d)
+    return models.fit_table([r.fits[model]], spark).select("model", "n", *[F.round(c, 4).alias(c) for c in ("logLik", "AIC", "BIC")])
+
+
+query("model_fit_sar", FITTED + fit_sql.fit_ctes(X) + fit_sql.quality(X, "SAR"))(lambda spark, d: _quality(spark, d, "sar"))
+query("model_fit_sdm", FITTED + fit_sql.fit_ctes(XL) + fit_sql.quality(XL, "SDM"))(lambda spark, d: _quality(spark, d, "sdm"))
+
+
 @query("sbs_draws")
 def sbs_draws(spark, d):
     sample, w, grid = _sample(spark, d)
