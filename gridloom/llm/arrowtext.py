@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,7 +14,16 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from gridloom.runtime import quoted
 
 #: A slice of a batch is worked on at once up to this many characters; a longer single text is a slice of its own.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks, and several wait beside each other."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps what it likes
+        pass
 
 
 def map_rows(df: DataFrame, columns: dict[str, str], out: str | T.StructType, work: Callable[[], Callable[[list[list]], list[list]]]) -> DataFrame:
@@ -30,6 +40,7 @@ def map_rows(df: DataFrame, columns: dict[str, str], out: str | T.StructType, wo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = work()
+        got = part = texts = None
         for batch in batches:
             start, n = 0, batch.num_rows
             texts = batch.column(len(names) - 1)
@@ -43,6 +54,8 @@ def map_rows(df: DataFrame, columns: dict[str, str], out: str | T.StructType, wo
                 got = step([part.column(i).to_pylist() for i in range(len(names))])
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(got, arrow, strict=True)], schema=arrow)
                 start = end
+        step = got = part = texts = None
+        give_back()
 
     return slim.mapInArrow(run, schema)
 

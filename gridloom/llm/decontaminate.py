@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.arrowtext import as_text, map_rows
+from gridloom.llm.arrowtext import as_text, give_back, map_rows
 from gridloom.runtime import cut, quoted, table
 
 
@@ -319,7 +319,9 @@ def remove(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = No
         def clean(column):
             if not index:
                 index.append(Index(items, settings))
-            return column.map(lambda t: not index[0].search(t or ""))
+            out = column.map(lambda t: not index[0].search(t or ""))
+            give_back()
+            return out
 
         return rows.where(clean(quoted(text).cast("string")))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.graph.components import components
-from gridloom.llm.arrowtext import as_text, map_rows
+from gridloom.llm.arrowtext import as_text, give_back, map_rows
 from gridloom.runtime import cut, free_name, quoted, release, table
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -295,6 +295,7 @@ def proposals(sets: DataFrame) -> DataFrame:
         for r, _ in seen:
             sizes[r] = sizes.get(r, 0) + 1
         kept = [(f"{place}/{r}", s) for r, s in seen if sizes[r] > 1]
+        give_back()
         return pa.table({"cluster": pa.array([c for c, _ in kept], pa.string()), "sid": pa.array([s for _, s in kept], pa.binary())})
 
     return sent.groupBy("hp", "hq", "tile", "block").applyInArrow(compare, "cluster string, sid binary")
@@ -362,6 +363,7 @@ def alike(docs: DataFrame, width: int = 5, key: str = "doc_id", text: str = "tex
             for i, j in alike_pairs([np.frombuffer(raw[r].as_buffer(), "<u8") for r in rows]):
                 u.append(sids[rows[i]])
                 v.append(sids[rows[j]])
+        give_back()
         return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
 
     roots = components(dealt.groupBy("deal").applyInArrow(verify, "u binary, v binary"))

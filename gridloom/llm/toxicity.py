@@ -12,12 +12,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.arrowtext import as_text, map_rows
+from gridloom.llm.arrowtext import as_text, give_back, map_rows
 from gridloom.runtime import free_name, quoted, table
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words whose terms a worker remembers; the rest are hashed each time.
-MOST_CACHED = 120_000
+MOST_CACHED = 50_000
 
 
 @dataclass
@@ -189,7 +189,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
 
     @pandas_udf("double")
     def run(column):
-        return column.map(lambda t: bare.score(t or ""))
+        out = column.map(lambda t: bare.score(t or ""))
+        give_back()
+        return out
 
     return docs.withColumn(free_name(docs, into), run(quoted(text).cast("string")))
 
