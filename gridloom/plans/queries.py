@@ -609,10 +609,11 @@ def reach_within_6_steps(spark, d):
 
 @query("bfs_orders", f"WITH RECURSIVE {GRID}, {_components_sql('queen')}, {SEEDS}, {ORDER.replace('{steps}', '400')} SELECT component, cell, place FROM places")
 def bfs_orders(spark, d):
-    base, grid, _ = _weights(spark, d)
+    base, grid = _support(spark, d)
+    base = cut(base, "support")
     parts = cut(scenarios.labelled(base, grid), "labelled")
-    ranked = weights.edges(base, grid, ranked=True).join(parts.select("component", F.col("cell").alias("i")), "i").select("component", "i", "o", "j")
-    return search.orders(ranked, scenarios.seeds(parts), parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")))
+    ranked = cut(weights.edges(base, grid, ranked=True).join(parts.select("component", F.col("cell").alias("i")), "i").select("component", "i", "o", "j"), "ranked")
+    return search.orders(ranked, cut(scenarios.seeds(parts), "seeds"), parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")), grid=grid)
 
 
 ALLOCATION = """counts AS (SELECT component, count(*) AS n FROM parts GROUP BY 1), whole AS (SELECT scenario, greatest(1, CAST(floor(share::DOUBLE * t + 1e-9) AS BIGINT)) AS k, t FROM takes CROSS JOIN (SELECT sum(n) AS t FROM counts)),

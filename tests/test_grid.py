@@ -147,6 +147,31 @@ def test_orders_in_one_task_and_over_levels_agree(spark, sf):
     assert one == two and len(one) == base.count()
 
 
+def counted(spark, name, work):
+    """What work() gives, and the number of its jobs."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        return work(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("window", [1, 1_000])
+def test_orders_by_windows_are_those_of_one_task(spark, window):
+    """Levels over the cluster (a window is too large), and some windows; without a job for each level."""
+    from gridloom.runtime import cut
+
+    cells, g = lattice(spark, *((5, 8) if window == 1 else (200, 12)))
+    base = cut(cells.where("pmod(xxhash64(cell), 10) < 6"), "support")
+    parts = cut(scenarios.labelled(base, g), "labelled")
+    ranked = cut(weights.edges(base, g, ranked=True).join(parts.select("component", F.col("cell").alias("i")), "i").select("component", "i", "o", "j"), "ranked")
+    sizes, starts = cut(parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "sizes"), cut(scenarios.seeds(parts), "seeds")
+    want = sorted(map(tuple, search.orders(ranked, starts, sizes).collect()))
+    got, jobs = counted(spark, f"windows-{window}", lambda: sorted(map(tuple, search.orders(ranked, starts, sizes, 10, g, window).collect())))
+    assert got == want and len(got) == base.count() and sizes.where("n > 10").count()
+    assert jobs < 100
+
+
 def test_allocation_labels_and_proportions(spark):
     sizes = spark.createDataFrame([(1, 39), (2, 14), (3, 6)], "component long, n long")
     take = lambda k: [r["take"] for r in scenarios.allocate(sizes, k, 59).orderBy("component").collect()]
