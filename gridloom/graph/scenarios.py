@@ -123,7 +123,7 @@ def spatial_supports(support: DataFrame, grid: Grid, shares: list[float], contig
     parts = cut(labelled(support, grid, contiguity), "labelled")
     sizes = cut(parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "sizes")
     ranked = weights.edges(support, grid, contiguity, ranked=True).join(parts.select("component", F.col("cell").alias("i")), "i").select("component", "i", "o", "j")
-    order = cut(search.orders(ranked, seeds(parts), sizes, bound), "orders")
+    order = cut(search.orders(cut(ranked, "ranked"), cut(seeds(parts), "seeds"), sizes, bound, grid), "orders")
     total = parts.count()
     out = None
     for s in shares:

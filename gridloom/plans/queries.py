@@ -623,8 +623,8 @@ given AS (SELECT scenario, component, least(n, floor(q) + CASE WHEN row_number()
 
 @query("spatial_nested_supports", f"WITH RECURSIVE {GRID}, {_components_sql('queen')}, {SEEDS}, {ORDER.replace('{steps}', '400')}, {TAKES}, {ALLOCATION} SELECT scenario, cell FROM places JOIN given USING (component) WHERE place <= take")
 def spatial_nested_supports(spark, d):
-    base, grid, _ = _weights(spark, d)
-    return scenarios.spatial_supports(base, grid, SHARES)
+    base, grid = _support(spark, d)
+    return scenarios.spatial_supports(cut(base, "support"), grid, SHARES)
 
 
 # Benchmark tables

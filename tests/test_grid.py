@@ -172,6 +172,13 @@ def test_orders_by_windows_are_those_of_one_task(spark, window):
     assert jobs < 100
 
 
+def test_spatial_supports_of_large_components_take_few_jobs(spark):
+    cells, g = lattice(spark, 120, 4)
+    (want, _), (got, jobs) = (counted(spark, f"supports-{bound}", lambda b=bound: sorted(map(tuple, scenarios.spatial_supports(cells, g, [0.1, 0.5], bound=b).collect()))) for bound in (250_000, 10))
+    assert got == want and len(got) == 48 + 240
+    assert jobs < 120  # 60 levels
+
+
 def test_allocation_labels_and_proportions(spark):
     sizes = spark.createDataFrame([(1, 39), (2, 14), (3, 6)], "component long, n long")
     take = lambda k: [r["take"] for r in scenarios.allocate(sizes, k, 59).orderBy("component").collect()]
