@@ -8,21 +8,33 @@ from pyspark.sql import functions as F
 from gridloom.llm import bpe, decontaminate, pii, simhash, toxicity
 from gridloom.runtime import cut, release, table
 
+#: Rows of a batch of whole texts between Spark and its Python workers, each of which holds one or two.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of BATCH_ROWS rows instead of Spark's default; another number that the session has set stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.7 or more go. Labels are learned from the rows of ``docs`` that aren't held out; null and
     empty texts score as a text without a word."""
+    small_batches(spark)
     return toxicity.reject(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of texts alike in 0.8 of their five-word shingles stays, that of the least doc_id; rows
     without a doc_id stay."""
+    small_batches(spark)
     return simhash.deduplicate(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with at most a tenth of it edited, go; null texts hold none."""
+    small_batches(spark)
     return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -33,6 +45,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes, ids) of every document."""
+    small_batches(spark)
     return bpe.digests(docs, **bpe.production(), with_ids=True)
 
 

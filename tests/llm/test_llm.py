@@ -1006,3 +1006,18 @@ def test_pipeline_on_odd_rows(spark, tmp_path, docs):
 def test_queries_are_all_there():
     assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)} and set(SQL) <= set(QUERIES)
     assert os.path.exists(bpe.production()["rank_file"])
+
+
+def test_pipeline_sends_small_batches_to_python(spark):
+    import corpus_pipeline
+
+    key, docs = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.range(4_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text")).coalesce(1)
+    was = spark.conf.get(key)
+    sizes = lambda: [r["n"] for r in docs.select("doc_id").mapInArrow(lambda batches: (b.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()]
+    try:
+        for given, most in (("10000", 1_000), ("3000", 3_000)):
+            spark.conf.set(key, given)
+            assert corpus_pipeline.tokens(spark, docs, "").count() == 4_000
+            assert max(sizes()) == most and sum(sizes()) == 4_000
+    finally:
+        spark.conf.set(key, was)
